@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, lm_scoring, mixing, packing, token_counts, url_filters
+from . import jaccard_join, language_id, license_scan, lm_scoring, mixing, packing, token_counts, url_filters
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,6 +49,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"), license_scan.document_path())
 
 
+#: All pairs that share a shingle; run by DuckDB on small tables only.
+JACCARD_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+   'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+   ELSE list_distinct([array_to_string(w[i : i + 3], ' ') for i in range(1, len(w) - 2)]) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n, list_sort(s) AS s FROM s),
+c AS (SELECT *, min(doc_id) OVER (PARTITION BY s) AS rep, count(*) OVER (PARTITION BY s) AS copies FROM n WHERE n > 0),
+x AS (SELECT rep, n, unnest(s) AS h FROM c WHERE doc_id = rep),
+p AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.h = b.h AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+   GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT a AS node, a AS l FROM e UNION SELECT e.b, r.l FROM r JOIN e ON e.a = r.node),
+k AS (SELECT node, min(l) AS l FROM r GROUP BY node)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(k.l, c.rep, n.doc_id) AS component_id, coalesce(c.copies, 1)::BIGINT AS n_copies
+FROM n LEFT JOIN c USING (doc_id) LEFT JOIN k ON k.node = c.rep"""
+
+
 URL_SQL = f"""WITH rules(host, path, verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
 p AS (SELECT row_number() OVER () AS rid, page_id,
    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -56,8 +77,8 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_lm_scoring, op4_language_id, op6_packing, op7_mixing, op8_url_filters, op9_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op3_lm_scoring, op4_language_id, op5_jaccard_join, op6_packing, op7_mixing, op8_url_filters, op9_token_counts, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.MIX_SQL, "op8_url_filters": URL_SQL}
+    return {"op5_jaccard_join": JACCARD_SQL, "op7_mixing": mixing.MIX_SQL, "op8_url_filters": URL_SQL}
