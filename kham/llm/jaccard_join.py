@@ -65,10 +65,10 @@ def shingle_sets(raws: list[bytes], width: int) -> list[np.ndarray]:
         if n >= width:
             out.append(np.unique(h[at : p - width + 1]))
         elif n:
-            x = _U64(n)
+            x = np.array([n], _U64)
             for k in range(n):
-                x = mix(np.array([x * _MULT[k % 5] + w[at + k]], _U64))[0]
-            out.append(np.array([x], _U64))
+                x = mix(x * _MULT[k % 5] + w[at + k : at + k + 1])
+            out.append(x)
         else:
             out.append(np.zeros(0, _U64))
         at = p
@@ -100,7 +100,7 @@ def signatures(h: np.ndarray, t: int) -> np.ndarray:
         partner = min(farthest, (2 << at) - 1)  # the largest size that meets this one at the level
         s, apart = shards_of(at, t), most_apart(n, partner, t)
         for salt in range(SALTS):
-            x = mix(h + _MULT[salt] * _U64(at + 1))
+            x = mix(h + np.array([at + 1], _U64) * _MULT[salt])
             shard = (x % _U64(s)).astype(_I64)
             size = np.bincount(shard, minlength=s)
             order = np.argsort(shard, kind="stable")

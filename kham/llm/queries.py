@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, license_scan, lm_scoring, mixing, packing, token_counts, url_filters
+from . import ann, jaccard_join, language_id, license_scan, lm_scoring, mixing, packing, token_counts, url_filters
 from .common import table
 
 
@@ -15,6 +16,10 @@ from .common import table
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -77,7 +82,7 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_lm_scoring, op4_language_id, op5_jaccard_join, op6_packing, op7_mixing, op8_url_filters, op9_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ann, op3_lm_scoring, op4_language_id, op5_jaccard_join, op6_packing, op7_mixing, op8_url_filters, op9_token_counts, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
