@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-MEMO = 500_000
+#: Words remembered by a worker, some 200 bytes each; when full, the half that came last, the rarer words, is dropped.
+MEMO = 1_500_000
 #: Bits of a sequence id that count within one task.
 LOCAL_BITS = 36
 
@@ -47,7 +48,8 @@ class WordIds:
             return b"".join(map(self.memo.__getitem__, words))
         except KeyError:
             if len(self.memo) > MEMO:
-                self.memo.clear()
+                for w in list(self.memo)[MEMO // 2 :]:
+                    del self.memo[w]
             new = list({w for w in words if w not in self.memo})
             for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self.memo[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
