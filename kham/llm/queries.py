@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard_join, language_id, license_scan, lm_scoring, mixing, packing, token_counts, url_filters
+from . import ann, jaccard_join, language_id, license_scan, lm_scoring, mixing, near_dedup, packing, token_counts, url_filters
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -82,7 +86,7 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op3_lm_scoring, op4_language_id, op5_jaccard_join, op6_packing, op7_mixing, op8_url_filters, op9_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ann, op2_near_dedup, op3_lm_scoring, op4_language_id, op5_jaccard_join, op6_packing, op7_mixing, op8_url_filters, op9_token_counts, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
