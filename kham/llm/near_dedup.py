@@ -8,8 +8,10 @@
 3. Edges at the threshold connect components. Within a component all members are compared exactly, in double precision,
    block against block, which gives each member's number of links and a spanning set of exact links; only counts and
    spanning links leave a block, so a group of m copies doesn't emit its m*m links.
-4. Audit: up to `PROBES` rows of least hash that have a link are compared with all rows. While less than `target` of
-   their links were found, another tree with another seed adds its edges (`ROUNDS` at most).
+4. Audit: the whole is done with a second tree and seed, and the rows that only the second graph links tell what share
+   one graph misses; two independent graphs miss about its square. Up to `PROBES` rows of least hash, half of them with
+   a link, are compared with all rows. While either recall is below `target`, another seed adds its edges (`ROUNDS`
+   graphs at most).
 
 Invalid vectors (see `valid_vectors`) link with nothing and are their own component. Rows that repeat an id are each
 compared; they count as each other's links if their vectors reach the threshold. Null ids link with nothing. An empty
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, components, crosswise
 from .vectors import Tree, matrix, sample_rows, valid_vectors
 
-FIT, LEAF, PROBES, ROUNDS = 16_384, 256, 256, 3
+FIT, LEAF, PROBES, ROUNDS = 16_384, 256, 256, 4
 #: Rows of a leaf or of a component that meet in one task.
 BLOCK = 2048
 #: The packed vectors are broadcast up to this size, else joined by a shuffle.
@@ -211,7 +213,7 @@ def audit(rows: DataFrame, counted: DataFrame, d: int, threshold: float) -> tupl
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, threshold: float = 0.9,
-                    k: int = 8, rounds: int = 4, few: float = 0.002, target: float = 0.98, block: int = BLOCK,
+                    k: int = 8, rounds: int = 4, few: float = 0.002, target: float = 0.99, block: int = BLOCK,
                     broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, n_links, component_id, kept, audit_recall) of every row of the table."""
     spark = vectors.sparkSession
@@ -250,6 +252,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         if full.limit(1).count():  # saturated lists: fourfold, among their own neighbours of neighbours
             sat = ws.stage(near.join(full, "u", "left_semi"))
             near = near.unionByName(descend(ws, sat, packed, d, 4 * k, 2, few).where(F.col("s") >= low))
+        missed = 1.0
+        if counted is not None:
+            nodes = near.select("u").distinct()
+            missed = nodes.join(counted.where("links > 0"), nodes["u"] == counted["id"], "left_anti").count() / max(1, nodes.count())
         found = near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
         found = ws.stage((found if links is None else found.union(links)).distinct())
         links = found
@@ -260,7 +266,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         got, there = audit(rows, counted, d, threshold)
         recall = got / there if there else 1.0
         ws.drop(g, leaves)
-        if recall >= target:
+        if min(recall, 1 - missed ** (seed + 1)) >= target:
             break
     ids = vectors.select(F.col(id_col).alias("id"))
     if counted is None:
