@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
 Units of a text are its lines; of a long line, windows of words. A unit is compared with every template by the cosine
-of TF-IDF vectors (idf over the templates). Only units with an anchor word are scored, which loses nothing: a
+of TF-IDF vectors (idf over the templates; common English words weigh nothing). Only units with an anchor word are scored, which loses nothing: a
 template's anchors are its heaviest words, as many as it takes for the rest of its vector to stay below the threshold,
 so a unit without any of them can't reach it. A file's own licence is its best unit's template.
 
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 LICENCE_FILE = "(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 WINDOW = 32
+#: Words without weight.
+COMMON = frozenset("a an and any are by for in is it of on or that the this to under use with without".split())
 
 #: Short forms by which licences are named in headers and licence files.
 TEMPLATES = {
@@ -46,7 +48,7 @@ TEMPLATES = {
 
 class Scanner:
     def __init__(self, templates: dict[str, list[str]], threshold: float):
-        texts = [(k, WORD.findall(t.lower())) for k in sorted(templates) for t in templates[k]]
+        texts = [(k, [w for w in WORD.findall(t.lower()) if w not in COMMON]) for k in sorted(templates) for t in templates[k]]
         df = Counter(w for _, ws in texts for w in set(ws))
         self.idf = {w: math.log(1 + len(texts) / n) for w, n in df.items()}
         self.other = math.log(1 + len(texts))  # of a word that no template has
@@ -57,18 +59,19 @@ class Scanner:
             norm = math.sqrt(sum(x * x for x in v.values()))
             v = {w: x / norm for w, x in v.items()}
             self.templates.append((name, v))
-            rest, heavy = 1.0, sorted(v, key=lambda w: (-v[w], w))
+            rest, heavy = 1.0, sorted(v, key=lambda w: (len(w) < 3, -v[w], w))
             for w in heavy:
                 if math.sqrt(max(rest, 0)) < threshold - 1e-9:
                     break
                 anchors.add(w)
                 rest -= v[w] * v[w]
         self.anchors = frozenset(anchors)
-        self.found = re.compile("|".join(sorted(map(re.escape, anchors), key=lambda a: (-len(a), a))) or "(?!)")
+        any_of = "|".join(sorted(map(re.escape, anchors), key=lambda a: (-len(a), a))) or "(?!)"
+        self.found = re.compile(f"(?<![a-z0-9])(?:{any_of})(?![a-z0-9])")
 
     def cosine(self, words: list[str]) -> tuple[float, str] | None:
         """The best (score, licence) at or above the threshold of one unit."""
-        v = {w: n * self.idf.get(w, self.other) for w, n in Counter(words).items()}
+        v = {w: n * self.idf.get(w, self.other) for w, n in Counter(words).items() if w not in COMMON}
         norm = math.sqrt(sum(x * x for x in v.values()))
         best = None
         for name, t in self.templates:
@@ -80,6 +83,8 @@ class Scanner:
     def units(self, text: str) -> Iterator[list[str]]:
         """Units that hold an anchor; a long line gives windows that overlap by half."""
         low, seen = text.lower(), -1
+        if not any(a in low for a in self.anchors):
+            return
         for m in self.found.finditer(low):
             if m.start() < seen:
                 continue
