@@ -37,3 +37,5 @@ ISSUE_KINDS = ("mojibake", "double_sara_e", "nikhahit_aa", "nikhahit_redundant",
                "reorder", "duplicate_mark", "multi_tone", "multi_vowel", "orphan_mark", "mark_on_lead_vowel", "zero_width", "visual_order")
 #: Latin letters to Thai ones, for Thai inputs made from Latin text.
 LATIN, TO_THAI = "abcdefghijklmnopqrstuvwxyz", "ากขดเฟง้ิๆคลมนํป์รสทุว่ำัแ"
+#: A cluster, or a run of characters that carry nothing (at most 200, which keeps the matcher's stack small).
+SEGMENT = f"(?s)(?:[{VALID_BASES}](?![{COMBINING}{SARA_AM}])|[^{COMBINING}{VALID_BASES}](?![{COMBINING}])){{1,200}}|" + CLUSTER[4:]

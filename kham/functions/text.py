@@ -1,20 +1,21 @@
 """Thai text as Column functions: ratios, repair, clusters, normalisation with an issue log, audit, visual order.
 
-All run in the JVM but `nfc` and `repair_encoding`, for which Spark has no built-in.
+All run in the JVM but `nfc`, `repair_encoding` and `normalise`: Spark has no NFC and no strict code pages, and a cluster
+scan by higher-order functions repeats its steps for every character.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import types as T
 
 from . import classes as C
 
-ISSUE = "struct<stage:int,at:int,kind:string,severity:string,idx:int,context:string,before:string,after:string>"
 
 
 def to_thai(text: Column) -> Column:
@@ -31,7 +32,7 @@ def thai_ratio(text: Column) -> Column:
     return F.when(body > 0, F.regexp_count(text, F.lit(f"[{C.THAI}]")) / body).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf(StringType())
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
@@ -58,7 +59,7 @@ def repaired(t: str) -> str:
     return t
 
 
-@F.pandas_udf(StringType())
+@F.pandas_udf(T.StringType())
 def repair_encoding(s: pd.Series) -> pd.Series:
     return s.map(repaired, na_action="ignore")
 
@@ -85,114 +86,108 @@ def chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def _without_first(text: Column, ch: str) -> Column:
-    i = F.instr(text, ch)
-    return F.when(i > 0, F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))).otherwise(text)
+ISSUE_TYPE = T.StructType([T.StructField(n, T.StringType() if n in ("kind", "severity", "context", "before", "after") else T.IntegerType())
+                           for n in ("stage", "at", "kind", "severity", "idx", "context", "before", "after")])
+NORMALISED = T.StructType([T.StructField("text", T.StringType()), T.StructField("issues", T.ArrayType(ISSUE_TYPE))])
+_SEGMENT, _LONE = re.compile(C.SEGMENT), re.compile(f"[{C.COMBINING}]")
+_RANK = {m: n for k, n in C.MARK_ORDER for m in re.findall(f"[{k}]", "".join(map(chr, range(0x0E00, 0x0E80))))}
+_TONE, _VOWEL = re.compile(f"[{C.TONES}]"), re.compile(f"[{C.ABOVE_VOWELS}{C.BELOW_VOWELS}]")
+_BASE_AM_TONE = re.compile(f"(?s)[{C.VALID_BASES}][{C.COMBINING}]*{C.SARA_AM}[{C.TONES}]")
+_LEAD, _CONSONANT = re.compile(f"[{C.LEAD_VOWELS}]"), re.compile(f"[{C.CONSONANTS}]")
 
 
-def order_marks(marks: Column) -> Column:
-    """Canonical marks of a string of marks: no repeats, one tone, one vowel, in order of classes, stable."""
-    vowel = f"[{C.ABOVE_VOWELS}{C.BELOW_VOWELS}]"
-    once = F.array_distinct(chars(marks))
-    tone1 = F.get(F.filter(once, lambda m: m.rlike(f"[{C.TONES}]")), F.lit(0))
-    vowel1 = F.get(F.filter(once, lambda m: m.rlike(vowel)), F.lit(0))
-    kept = F.filter(once, lambda m: F.when(m.rlike(f"[{C.TONES}]"), m == tone1).when(m.rlike(vowel), m == vowel1).otherwise(F.lit(True)))
-    return F.array_join(F.concat(*[F.filter(kept, lambda m, k=k: m.rlike(f"[{k}]")) for k, _ in C.MARK_ORDER]), "")
+def ordered_marks(marks: str) -> tuple[str, dict[str, list[str]]]:
+    """Marks in canonical order, and what went, by kind: repeats, tones and vowels after the first."""
+    once = list(dict.fromkeys(marks))
+    repeats = [m for i, m in enumerate(marks) if m in marks[:i]]
+    spare = {kind: [m for m in once if of.match(m)][1:] for kind, of in (("multi_tone", _TONE), ("multi_vowel", _VOWEL))}
+    gone = set(spare["multi_tone"]) | set(spare["multi_vowel"])
+    return "".join(sorted((m for m in once if m not in gone), key=_RANK.__getitem__)), {"duplicate_mark": repeats, **spare}
 
 
-def _issue(stage: int, at: Column, kind: str, severity: str, idx: Column, ctx: Column, before: Column, after: Column) -> Column:
-    return F.struct(F.lit(stage).alias("stage"), at.cast("int").alias("at"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"),
-                    idx.cast("int").alias("idx"), ctx.alias("context"), before.alias("before"), after.alias("after")).cast(ISSUE)
+def normalised(text: str, strip: bool = True) -> tuple[str, list[tuple]]:
+    """Canonical text and issues of a text whose encoding is right and that is in NFC.
 
-
-def _if(cond: Column, *issues: Column) -> Column:
-    return F.when(cond, F.array(*issues)).otherwise(F.array().cast(f"array<{ISSUE}>"))
-
-
-class Normalised:
-    """Columns of one normalisation: `text` and `issues`, over a column whose encoding is right and that is in NFC.
-
-    The issues come stage by stage: zero widths, doubled SARA E, what the scan for clusters met, marks on lead vowels,
-    order of marks.
+    The text is cut into segments by one regular expression; only those with marks are looked at. Issues come stage by
+    stage: zero widths (1), doubled SARA E (2), what the scan met (3), marks on lead vowels (4), order of marks (5).
     """
-
-    def __init__(self, original: Column, strip: bool = True):
-        no_zero = strip_zero_width(original) if strip else original
-        text = fix_double_sara_e(no_zero)
-        raw = clusters(text)
-        # (cluster, where it starts); a lone mark is an orphan
-        placed = F.zip_with(raw, self._starts(raw), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-        self.base_text, self.placed, self.no_zero, self.original = text, placed, no_zero, original
-        parts = F.transform(F.filter(placed, lambda p: ~p["c"].rlike(f"^[{C.COMBINING}]$")), self._part)
-        moved = F.transform(parts, lambda p, k: self._move(p, F.get(parts, k - 1), F.get(parts, k + 1)))
-        self.parts, self.moved = parts, moved
-        done = F.transform(moved, lambda p: F.concat(p["b"], F.when(p["m"] == "", F.lit("")).otherwise(order_marks(p["m"])), F.when(p["am"], F.lit(C.SARA_AM)).otherwise(F.lit(""))))
-        self.text = F.array_join(done, "")
-
-    @staticmethod
-    def _starts(raw: Column) -> Column:
-        """Positions where clusters begin: the lengths before them, added up over an array of lengths."""
-        n = F.transform(raw, F.length)
-        return F.slice(F.aggregate(n, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x)), F.lit(1), F.size(n))
-
-    @staticmethod
-    def _part(p: Column) -> Column:
-        base, tail = F.substring(p["c"], 1, 1), F.substring(p["c"], F.lit(2), F.length(p["c"]))
-        aa, am = tail.endswith(C.SARA_AA), tail.contains(C.SARA_AM)
-        marks = F.regexp_replace(tail, f"[{C.SARA_AM}{C.SARA_AA}]", "")
-        first = F.when(aa, _without_first(marks, C.NIKHAHIT)).otherwise(marks)
-        spare = (aa | am) & first.contains(C.NIKHAHIT)
-        return F.struct(base.alias("b"), F.when(spare, _without_first(first, C.NIKHAHIT)).otherwise(first).alias("m"), (aa | am).alias("am"),
-                        p["i"].alias("i"), aa.alias("aa"), spare.alias("spare"), p["c"].alias("c"))
-
-    @staticmethod
-    def _moves(p: Column, after: Column) -> Column:
-        return F.coalesce(p["b"].rlike(f"[{C.LEAD_VOWELS}]") & (p["m"] != "") & after["b"].rlike(f"[{C.CONSONANTS}]"), F.lit(False))
-
-    def _move(self, p: Column, before: Column, after: Column) -> Column:
-        marks = F.when(self._moves(p, after), F.lit("")).when(self._moves(before, p), F.concat(before["m"], p["m"])).otherwise(p["m"])
-        return F.struct(p["b"].alias("b"), marks.alias("m"), p["am"].alias("am"), p["i"].alias("i"))
-
-    @property
-    def issues(self) -> Column:
-        t, e = self.base_text, F.lit("")
-        zero = _if(self.original != self.no_zero, _issue(1, F.lit(0), "zero_width", "fixed", F.lit(0), e, e, e))
-        pieces = F.split(self.no_zero, C.SARA_E * 2)
-        before_k = lambda k: F.aggregate(F.slice(pieces, F.lit(1), k + 1), F.lit(0), lambda a, x: a + F.length(x))
-        doubled = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda _, k: _issue(
-            2, k, "double_sara_e", "fixed", before_k(k) + k, e, F.lit(C.SARA_E * 2), F.lit(C.SARA_AE)))
-
-        def scanned(p: Column) -> Column:
-            ctx = lambda i: context(t, i)
-            am_at = p["i"] + F.instr(F.substring(p["c"], F.lit(2), F.length(p["c"])), C.SARA_AM)
-            end = p["i"] + F.length(p["c"]) - 1
-            q = self._part(p)
-            tone = F.substring(p["c"], am_at - p["i"] + 2, F.lit(1))
-            return F.when(p["c"].rlike(f"^[{C.COMBINING}]$"), F.array(_issue(3, p["i"], "orphan_mark", "warn", p["i"], ctx(p["i"]), p["c"], e))).otherwise(F.concat(
-                _if(p["c"].rlike(f"(?s)^.[{C.COMBINING}]*{C.SARA_AM}[{C.TONES}]"),
-                    _issue(3, p["i"], "sara_am_tone", "fixed", am_at, ctx(am_at), F.concat(q["b"], F.lit(C.SARA_AM), tone), F.concat(q["b"], tone, F.lit(C.SARA_AM)))),
-                _if(q["aa"], _issue(3, p["i"], "nikhahit_aa", "fixed", end, ctx(end), F.lit(C.NIKHAHIT + C.SARA_AA), F.lit(C.SARA_AM))),
-                _if(q["spare"], _issue(3, p["i"], "nikhahit_redundant", "fixed", p["i"], ctx(p["i"]), F.lit(C.NIKHAHIT + C.SARA_AM), F.lit(C.SARA_AM)))))
-
-        odd = F.filter(self.placed, lambda p: p["c"].rlike(f"[{C.COMBINING}]"))
-        scan = F.flatten(F.transform(odd, scanned))
-        lead = F.flatten(F.transform(self.parts, lambda p, k: _if(
-            self._moves(p, F.get(self.parts, k + 1)),
-            _issue(4, k, "mark_on_lead_vowel", "fixed", p["i"], p["m"], F.concat(p["b"], p["m"]), F.concat(p["b"], F.get(self.parts, k + 1)["b"], p["m"])))))
-        marked = F.filter(self.moved, lambda p: p["m"] != "")
-        return F.concat(zero, doubled, scan, lead, F.flatten(F.transform(marked, self._mark_issues)))
-
-    def _mark_issues(self, p: Column) -> Column:
-        t, e, ms = self.base_text, F.lit(""), chars(p["m"])
-        vowel = f"[{C.ABOVE_VOWELS}{C.BELOW_VOWELS}]"
-        once, ctx, best = F.array_distinct(ms), context(t, p["i"]), order_marks(p["m"])
-        again = F.filter(ms, lambda m, k: F.array_position(ms, m) <= k)
-        of = lambda pattern: F.slice(F.filter(once, lambda m: m.rlike(pattern)), F.lit(2), F.lit(99))
-        make = lambda kind, severity: lambda m: _issue(5, p["i"], kind, severity, p["i"], ctx, m, e)
-        return F.concat(
-            F.transform(again, make("duplicate_mark", "fixed")), F.transform(of(f"[{C.TONES}]"), make("multi_tone", "warn")),
-            F.transform(of(vowel), make("multi_vowel", "warn")),
-            _if((F.length(best) == F.length(p["m"])) & (best != p["m"]), _issue(5, p["i"], "reorder", "fixed", p["i"], ctx, F.concat(p["b"], p["m"]), F.concat(p["b"], best))))
+    log: list[tuple] = []
+
+    def say(stage: int, at: int, kind: str, severity: str, idx: int, ctx: str, before: str, after: str) -> None:
+        log.append((stage, at, kind, severity, idx, ctx, before, after))
+
+    def around(t: str, i: int) -> str:
+        return t[max(0, i - 12) : i + 12]
+
+    clean = re.sub(f"[{C.ZERO_WIDTH}]", "", text) if strip else text
+    if clean != text:
+        say(1, 0, "zero_width", "fixed", 0, "", "", "")
+    pieces, t = clean.split(C.SARA_E * 2), ""
+    for k, piece in enumerate(pieces[:-1]):
+        t += piece
+        left = clean[len(t) + k :]  # from this pair on, as the text still has it
+        say(2, k, "double_sara_e", "fixed", len(t), t[-12:] + left[:12], C.SARA_E * 2, C.SARA_AE)
+        t += C.SARA_AE
+    t += pieces[-1]
+
+    parts: list[list] = []  # base, marks, SARA AM, rest, place
+    for k, m in enumerate(_SEGMENT.finditer(t)):
+        c, i = m.group(), m.start()
+        if len(c) == 1 and _LONE.match(c):
+            say(3, k, "orphan_mark", "warn", i, around(t, i), c, "")
+            continue
+        if not _LONE.search(c) and not (len(c) == 2 and c[1] == C.SARA_AM and _CARRIER.match(c)):
+            parts.append([c[0], "", False, c[1:], i])
+            continue
+        tail = c[1:]
+        aa, am, marks = tail.endswith(C.SARA_AA), C.SARA_AM in tail, tail.replace(C.SARA_AM, "").replace(C.SARA_AA, "")
+        if _BASE_AM_TONE.match(c):
+            at = c.index(C.SARA_AM, 1)
+            say(3, k, "sara_am_tone", "fixed", i + at, around(t, i + at), c[0] + c[at : at + 2], c[0] + c[at + 1] + C.SARA_AM)
+        if aa:
+            marks = marks.replace(C.NIKHAHIT, "", 1)
+            say(3, k, "nikhahit_aa", "fixed", i + len(c) - 1, around(t, i + len(c) - 1), C.NIKHAHIT + C.SARA_AA, C.SARA_AM)
+        if (aa or am) and C.NIKHAHIT in marks:
+            marks = marks.replace(C.NIKHAHIT, "", 1)
+            say(3, k, "nikhahit_redundant", "fixed", i, around(t, i), C.NIKHAHIT + C.SARA_AM, C.SARA_AM)
+        parts.append([c[0], marks, aa or am, "", i])
+
+    for k, (p, after) in enumerate(zip(parts, parts[1:])):
+        base = p[3][-1:] or p[0]
+        if p[1] and not p[3] and _LEAD.match(base) and _CONSONANT.match(after[0]):
+            say(4, k, "mark_on_lead_vowel", "fixed", p[4], p[1], p[0] + p[1], p[0] + after[0] + p[1])
+            after[1], p[1] = p[1] + after[1], ""
+    out = []
+    for k, (base, marks, am, rest, i) in enumerate(parts):
+        if marks:
+            best, gone = ordered_marks(marks)
+            for kind, ms in gone.items():
+                for x in ms:
+                    say(5, k, kind, "fixed" if kind == "duplicate_mark" else "warn", i, around(t, i), x, "")
+            if best != marks and len(best) == len(marks):
+                say(5, k, "reorder", "fixed", i, around(t, i), base + marks, base + best)
+            marks = best
+        out.append(base + marks + (C.SARA_AM if am else "") + rest)
+    return "".join(out), log
+
+
+_CARRIER = re.compile(f"[{C.VALID_BASES}]")
+
+
+@F.pandas_udf(NORMALISED)
+def normalise(s: pd.Series, strip: pd.Series) -> pd.DataFrame:
+    """struct<text, issues> of a text: encoding repaired, NFC, canonical; null stays null, empty stays empty."""
+    rows = []
+    for raw, cut in zip(s, strip):
+        if not raw:
+            rows.append((raw, []))
+            continue
+        fixed = repaired(raw)
+        text, log = normalised(unicodedata.normalize("NFC", fixed), cut)
+        if fixed != raw:
+            log.insert(0, (0, 0, "mojibake", "fixed", 0, raw[:40], raw[:40], fixed[:40]))
+        rows.append((text, [dict(zip(ISSUE_TYPE.names, x)) for x in log]))
+    return pd.DataFrame(rows, columns=["text", "issues"])
 
 
 def audit_runs(text: Column) -> Column:

@@ -33,21 +33,15 @@ ISSUE_LABELS = {
 MM_TO_PT = 72.0 / 25.4
 
 
-def issues_of(docs: DataFrame, text: str, keys: list[str], *, repair: bool = True, strip: bool = True) -> DataFrame:
-    """(keys, kind, severity, idx, context, before, after, stage, at): one row per issue of each text."""
-    d = docs.select(*keys, F.col(text).alias("raw")).where("raw <> ''")
-    d = d.withColumn("enc", T.repair_encoding("raw") if repair else F.col("raw")).withColumn("t", T.nfc("enc"))
-    n = T.Normalised(F.col("t"), strip)
-    bad = F.struct(F.lit(0).alias("stage"), F.lit(0).alias("at"), F.lit("mojibake").alias("kind"), F.lit("fixed").alias("severity"), F.lit(0).alias("idx"),
-                   F.substring("raw", 1, 40).alias("context"), F.substring("raw", 1, 40).alias("before"), F.substring("enc", 1, 40).alias("after")).cast(T.ISSUE)
-    all_ = F.concat(F.when(F.col("enc") != F.col("raw"), F.array(bad)).otherwise(F.array().cast(f"array<{T.ISSUE}>")), n.issues)
-    return d.select(*keys, F.explode(all_).alias("i")).select(*keys, "i.*")
-
-
-def normalised(docs: DataFrame, text: str, keys: list[str], *, repair: bool = True, strip: bool = True) -> DataFrame:
+def issues_of(docs: DataFrame, text: str, keys: list[str], *, strip: bool = True) -> DataFrame:
+    """(keys, stage, at, kind, severity, idx, context, before, after): one row per issue of each text."""
+    d = docs.select(*keys, T.normalise(F.col(text), F.lit(strip)).alias("n"))
+    return d.select(*keys, F.explode("n.issues").alias("i")).select(*keys, "i.*")
+
+
+def normalised(docs: DataFrame, text: str, keys: list[str], *, strip: bool = True) -> DataFrame:
     """(keys, text): texts in canonical form; null and empty ones stay as they are."""
-    d = docs.select(*keys, F.col(text).alias("raw")).withColumn("t", T.nfc(T.repair_encoding("raw") if repair else F.col("raw")))
-    return d.select(*keys, F.when(F.col("raw") == "", F.col("raw")).otherwise(T.Normalised(F.col("t"), strip).text).alias("text"))
+    return docs.select(*keys, T.normalise(F.col(text), F.lit(strip))["text"].alias("text"))
 
 
 def severity_rank(severity: Column) -> Column:

@@ -138,8 +138,8 @@ def visual_order(spark, sf_dir):
 _SWAPS = f"list_filter(range(1, length(text)), lambda i: regexp_matches(text[i : i + 1], '^[{C.CONSONANTS}][{C.LEAD_VOWELS}]$') AND NOT regexp_matches(text[i + 2], '[{C.CONSONANTS}]'))"
 
 
-@query(f"""{_WITH_THAI}, s AS (SELECT doc_id, text, {_SWAPS} AS at FROM td), c AS (SELECT doc_id, text, at, set_of FROM (SELECT *, map_from_entries([(i, true) for i in at]) AS set_of FROM s))
-SELECT doc_id, len(at)::INT AS swaps, md5(array_to_string([CASE WHEN map_contains(set_of, i) THEN text[i + 1] WHEN map_contains(set_of, i - 1) THEN text[i - 1] ELSE text[i] END for i in range(1, length(text) + 1)], '')) AS md5 FROM c""")
+@query(f"""{_WITH_THAI}, s AS (SELECT doc_id, text, {_SWAPS} AS ps FROM td), m AS (SELECT doc_id, text, ps, map_from_entries(list_transform(ps, lambda i: {{'k': i, 'v': true}})) AS mp FROM s)
+SELECT doc_id, len(ps)::INT AS swaps, md5(array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN map_contains(mp, i) THEN text[i + 1] WHEN map_contains(mp, i - 1) THEN text[i - 1] ELSE text[i] END), '')) AS md5 FROM m""")
 def visual_order_fix(spark, sf_dir):
     t = F.col("text")
     return D.thai_docs(spark, sf_dir).select("doc_id", T.visual_order_swaps(t).alias("swaps"), F.md5(T.fix_visual_order(t).cast("binary")).alias("md5"))
@@ -387,7 +387,7 @@ _OCR = f"""WITH {D.OCR_WORDS}, o0 AS (SELECT *, regexp_matches(text, '^[{C.COMBI
 @query(f"""{_OCR}, o1 AS (SELECT *, coalesce(avg(CASE WHEN height > 0 THEN height END) OVER (PARTITION BY page, block, par, line), 1.0) AS unit,
    max("left" + width) OVER (PARTITION BY page, block, par, line ORDER BY "left", word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM o0)
 SELECT page, block, par, line, string_agg(CASE WHEN NOT mo AND coalesce("left" - edge > unit * 0.6, false) THEN ' ' ELSE '' END || text, '' ORDER BY "left", word) AS text,
-   min("left") AS x0, min(top) AS y0, max("left" + width) AS x1, max(top + height) AS y1, round(greatest(8.0, (max(top + height) - min(top)) * 0.86), 6) AS size FROM o1 GROUP BY page, block, par, line""")
+   min("left") AS x0, min(top) AS y0, max("left" + width) AS x1, max(top + height) AS y1, round(greatest(8.0, (max(top + height) - min(top)) * 0.86)::DOUBLE, 6) AS size FROM o1 GROUP BY page, block, par, line""")
 def ocr_tsv_lines(spark, sf_dir):
     return quality.ocr_lines(D.ocr_words(spark, sf_dir), ["page"]).withColumn("size", F.round("size", 6))
 
@@ -403,11 +403,11 @@ def ocr_page_confidence(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT conv_id, turn, any_value(text) AS text, 'empty' AS source FROM conversations WHERE turn IS NOT NULL GROUP BY conv_id, turn HAVING count(*) = 1)
-SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN upper(text) ELSE text END AS text, CASE WHEN turn % 2 = 1 THEN 'ocr' ELSE source END AS source FROM p""")
+SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN text || '!' ELSE text END AS text, CASE WHEN turn % 2 = 1 THEN 'ocr' ELSE source END AS source FROM p""")
 def ocr_page_upsert(spark, sf_dir):
     c = D.table(spark, sf_dir, "conversations").where("turn is not null").groupBy("conv_id", "turn").agg(F.any_value("text").alias("text"), F.count("*").alias("n")).where("n = 1")
     p = c.select("conv_id", "turn", "text", F.lit("empty").alias("source"))
-    new = p.where("turn % 2 = 1").select("conv_id", "turn", F.upper("text").alias("text"), F.lit("ocr").alias("source"))
+    new = p.where("turn % 2 = 1").select("conv_id", "turn", F.concat("text", F.lit("!")).alias("text"), F.lit("ocr").alias("source"))
     return quality.upsert_pages(p, new, ["conv_id", "turn"])
 
 
