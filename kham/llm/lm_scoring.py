@@ -93,7 +93,7 @@ def count_keys(docs: DataFrame, split: Callable[[list[bytes]], tuple[np.ndarray,
 
         for batch in batches:
             texts, train = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
-            for first, past, raws in text_blocks(texts, 1 << 22):
+            for first, past, raws in text_blocks(texts, 1 << 20):
                 key, n = split(raws)
                 t = train[first:past]
                 if end is not None:
@@ -102,7 +102,7 @@ def count_keys(docs: DataFrame, split: Callable[[list[bytes]], tuple[np.ndarray,
                 held[0].append(np.unique(key, return_counts=True))
                 held[1].append(np.unique(key[np.repeat(t, n)], return_counts=True))
                 size += len(held[0][-1][0])
-                if size > 3_000_000:
+                if size > 1_000_000:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -221,7 +221,7 @@ def gram_log10(g: np.ndarray, levels: list[Level]) -> np.ndarray:
 def gram_table(ws: Workspace, grams: DataFrame) -> DataFrame:
     """(key, v): log10 probability of each gram of (key, c)."""
     top = F.shiftright("key", 8).bitwiseAND((1 << 24) - 1)
-    parts = max(1, min(1 << 16, -(-grams.count() // 400_000)))
+    parts = max(1, min(1 << 16, -(-grams.count() // 100_000)))
     # whole groups of the last three context bytes; a task works out many of them at once
     grouped = grams.repartition(parts, top)
 
@@ -262,57 +262,68 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
 
 # ---- scoring ----
 
-def summed(docs: DataFrame, split, found: DataFrame, rows: int, limit: int, extra: bool, name: str) -> DataFrame:
-    """docs (rid, ..., text) with `name`: per text the sum over its keys of the value in found (key, v); with `extra`
-    also the number of its keys and of those with known > 0."""
-    names = docs.columns
-    add = [f"{name} double", *([f"{name}_n long", f"{name}_known long"] if extra else [])]
-    if rows <= limit:
-        t = found.toArrow()
-        known = t["known"].to_numpy() if extra else None
-        shared = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(t["key"].to_numpy()), np.ascontiguousarray(t["v"].to_numpy()), known))
-        made: list = []
+def _looked_up(docs: DataFrame, probs: DataFrame, base: DataFrame) -> DataFrame:
+    """docs (id, held_out, text) with score, w, w_n, w_known: each text's grams and words are looked up in broadcast tables."""
+    spark = docs.sparkSession
+    g, w = probs.select("key", "v").toArrow(), base.select("key", "v", "known").toArrow()
+    column = lambda t, c: np.ascontiguousarray(t[c].to_numpy())
+    shared = spark.sparkContext.broadcast([(column(t, "key"), column(t, "v")) for t in (g, w)] + [column(w, "known")])
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
+    names = [c for c in docs.columns if c != "text"]
+    del g, w
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (gk, gv), (wk, wv), known = shared.value
+        grams, words = Lookup(gk, gv), Lookup(wk, wv)
+
+        def sums(out: np.ndarray, n: np.ndarray, x: np.ndarray) -> None:
+            full = np.flatnonzero(n)
+            if len(full):
+                out[full] = np.add.reduceat(x, (np.cumsum(n) - n)[full])
 
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            score, w, w_n, w_known = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), _I64), np.zeros(len(texts), _I64)
+            for first, past, raws in text_blocks(texts, 1 << 19):
+                key, n = block_grams(raws)
+                i = grams.find(key)
+                key, m = block_words(raws)
+                j = words.find(key)
+                if min(i.min(initial=0), j.min(initial=0)) < 0:
+                    raise ValueError("a key that was not counted")
+                sums(score[first:past], n, gv[i])
+                sums(w[first:past], m, wv[j])
+                sums(w_known[first:past], m, known[j].astype(_I64))
+                w_n[first:past] = m
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *map(pa.array, (score, w, w_n, w_known)),
+                                              pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64())],
+                                             names=[*names, "score", "w", "w_n", "w_known", "n_bytes"])
+
+    return docs.mapInArrow(run, ", ".join([*kinds, "score double, w double, w_n long, w_known long, n_bytes long"]))
+
+
+def _joined(docs: DataFrame, probs: DataFrame, base: DataFrame) -> DataFrame:
+    """The same by shuffled joins of each text's counted grams and words; docs has a row id `rid`."""
+
+    def counted(split) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, values, known = shared.value
-            look = made[0] if made else Lookup(keys, values)
-            made[:] = [look]
             for b in batches:
-                texts = b.column(b.schema.get_field_index("text")).to_pylist()
-                out = [np.zeros(len(texts)), np.zeros(len(texts), _I64), np.zeros(len(texts), _I64)]
-                for first, past, raws in text_blocks(texts, 1 << 20):
+                rid = b.column(0).to_numpy()
+                for first, _, raws in text_blocks(b.column(1).to_pylist(), 1 << 19):
                     key, n = split(raws)
-                    i = look.find(key)
-                    if len(i) and i.min() < 0:
-                        raise ValueError("a key that was not counted")
-                    full, starts = np.flatnonzero(n), (np.cumsum(n) - n)
-                    if len(full):
-                        out[0][first + full] = np.add.reduceat(values[i], starts[full])
-                        if extra:
-                            out[2][first + full] = np.add.reduceat(known[i].astype(_I64), starts[full])
-                    out[1][first:past] = n
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *map(pa.array, out[: 3 if extra else 1])],
-                                                 names=[*names, *(a.split()[0] for a in add)])
-
-        kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-        return docs.mapInArrow(run, ", ".join([*kinds, *add]))
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rid = b.column(0).to_numpy()
-            for first, past, raws in text_blocks(b.column(1).to_pylist(), 1 << 20):
-                key, n = split(raws)
-                at = 0
-                for i, k in enumerate(n):
-                    u, c = np.unique(key[at : at + k], return_counts=True)
-                    at += k
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), rid[first + i])), pa.array(u), pa.array(c)], names=["rid", "key", "c"])
+                    at = 0
+                    for i, k in enumerate(n):
+                        u, c = np.unique(key[at : at + k], return_counts=True)
+                        at += k
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), rid[first + i])), pa.array(u), pa.array(c)], names=["rid", "key", "c"])
+
+        return docs.select("rid", "text").mapInArrow(run, "rid long, key long, c long")
 
-    per = docs.select("rid", "text").mapInArrow(explode, "rid long, key long, c long").join(found, "key")
-    sums = [F.sum(F.col("c") * F.col("v")).alias(name)]
-    if extra:
-        sums += [F.sum("c").alias(f"{name}_n"), F.sum(F.when(F.col("known"), F.col("c")).otherwise(0)).alias(f"{name}_known")]
-    return docs.join(per.groupBy("rid").agg(*sums), "rid", "left").fillna(0, [a.split()[0] for a in add]).select(*docs.columns, *(a.split()[0] for a in add))
+    g = counted(block_grams).join(probs, "key").groupBy("rid").agg(F.sum(F.col("c") * F.col("v")).alias("score"))
+    w = counted(block_words).join(base, "key").groupBy("rid").agg(
+        F.sum(F.col("c") * F.col("v")).alias("w"), F.sum("c").alias("w_n"), F.sum(F.when(F.col("known"), F.col("c")).otherwise(0)).alias("w_known"))
+    out = docs.join(g, "rid", "left").join(w, "rid", "left").fillna(0, ["score", "w", "w_n", "w_known"])
+    return out.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 5, held: int = 1,
@@ -337,14 +348,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     end_c = words.where(F.col("key") == END_WORD).select("c").first()
     end_c = int(end_c["c"]) if end_c else 0
 
-    n_grams = probs.count()
-    if max(n_grams, n_words) > broadcast_rows:  # the joins need a row id that a retry can't change
-        rows = ws.stage(rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "id", "held_out", "text"))
-    got = summed(rows, block_grams, probs, n_grams, broadcast_rows, False, "score")
-    got = summed(got, block_words, base, n_words, broadcast_rows, True, "w")
-    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    if max(probs.count(), n_words) <= broadcast_rows:
+        got = _looked_up(rows, probs, base)
+    else:  # the joins need a row id that a retry can't change
+        got = _joined(ws.stage(rows.withColumn("rid", F.monotonically_increasing_id())), probs, base)
     return got.select(
         F.col("id").alias(id_col), "held_out", (F.col("w_n") + 1).cast("long").alias("n_tokens"),
         (F.col("w_known") + F.lit(1 if end_c else 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("w") + F.lit(math.log10(end_c + 0.5) - low)).alias("base_score"), "score", n_bytes.alias("n_bytes"),
-        (-F.col("score") * F.lit(math.log2(10)) / F.greatest(n_bytes, F.lit(1))).alias("bits_per_byte"))
+        (F.col("w") + F.lit(math.log10(end_c + 0.5) - low)).alias("base_score"), "score", "n_bytes",
+        (-F.col("score") * F.lit(math.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
