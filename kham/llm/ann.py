@@ -28,6 +28,8 @@ from .vectors import Tree, best_of, matrix, sample_rows, valid_vectors
 FIT, LEAVES, PROBES = 16_384, 256, 256
 #: Rows of one block of a leaf.
 BLOCK = 4096
+#: Queries whose best a task holds at once.
+HELD = 100_000
 
 
 def lift(x: np.ndarray, largest: float) -> np.ndarray:
@@ -64,6 +66,22 @@ def exact_neighbours(rows: DataFrame, ids: list, q: np.ndarray, k: int, d: int)
     return rows.select("id", "x", "leaf").mapInArrow(run, "probe long, id long, leaf long, score double")
 
 
+def top_rows(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of each row's k best, ties to smaller ids; filled up with -inf."""
+    n = min(k, s.shape[1])
+    at = np.argpartition(-s, n - 1, 1)[:, :n]
+    got_s = np.take_along_axis(s, at, 1)
+    got_i = ids[at]
+    low = got_s.min(1)
+    for r in np.flatnonzero(((s >= low[:, None]).sum(1) > n) & (low > -np.inf)):  # a tie at the end
+        b = best_of(s[r], ids, n)
+        got_s[r], got_i[r] = s[r][b], ids[b]
+    if n < k:
+        got_s = np.hstack([got_s, np.full((len(s), k - n), -np.inf)])
+        got_i = np.hstack([got_i, np.zeros((len(s), k - n), np.int64)])
+    return got_s, got_i
+
+
 def calibrate(tree: Tree, rows: DataFrame, queries: DataFrame, k: int, d: int, target: float) -> int:
     """The fewest leaves that find the target share of the exact neighbours of sampled queries."""
     ids, q = sample_rows(queries, PROBES, d, 1)
@@ -128,19 +146,43 @@ def nearest_neighbours(vectors: DataFrame, is_query: F.Column, id_col: str = "ve
     cells = there.unionByName(asked).repartition(crosswise(spark), "leaf", "block").sortWithinPartitions("leaf", "block", "q", "id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of each query over all cells of the task; what is held goes out when many queries are held."""
+        held: dict[int, int] = {}
+        top_s, top_i = np.zeros((0, k)), np.zeros((0, k), np.int64)
+
+        def out() -> pa.RecordBatch:
+            n = (top_s[: len(held)] > -np.inf).sum(1)
+            full = top_s[: len(held)] > -np.inf
+            n = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            pairs = pa.StructArray.from_arrays([pa.array(-top_s[: len(held)][full]), pa.array(top_i[: len(held)][full])], names=["s", "id"])
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.ListArray.from_arrays(n, pairs)], names=["query_id", "n"])
+
         for ids, x, q in _cells(batches, d):
             c = np.flatnonzero(~q)
-            if not len(c):
+            if not len(c) or len(c) == len(q):
                 continue
-            cid, cx = ids[c], x[c]
-            asks = np.flatnonzero(q)
+            again = np.zeros(len(c), bool)  # repeated rows stand side by side
+            again[1:] = (ids[c][1:] == ids[c][:-1]) & (x[c][1:] == x[c][:-1]).all(1)
+            cid, cx, asks = ids[c][~again], x[c][~again], np.flatnonzero(q)
             for at in range(0, len(asks), 512):
-                own, part = [], asks[at : at + 512]
+                part = asks[at : at + 512]
                 s = x[part] @ cx.T
                 s[ids[part][:, None] == cid[None]] = -np.inf
-                best = [best_of(row, cid, k) for row in s]
-                own = [[{"s": -float(s[i, j]), "id": int(cid[j])} for j in b] for i, b in enumerate(best)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(own, pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())])))], names=["query_id", "n"])
+                got_s, got_i = top_rows(s, cid, k)
+                rows = np.array([held.setdefault(i, len(held)) for i in ids[part].tolist()])
+                if len(held) > len(top_s):
+                    more = max(1024, len(held))
+                    top_s = np.vstack([top_s, np.full((more, k), -np.inf)])
+                    top_i = np.vstack([top_i, np.zeros((more, k), np.int64)])
+                all_s, all_i = np.hstack([top_s[rows], got_s]), np.hstack([top_i[rows], got_i])
+                o = np.lexsort((all_i, -all_s), axis=-1)[:, :k]
+                top_s[rows], top_i[rows] = np.take_along_axis(all_s, o, 1), np.take_along_axis(all_i, o, 1)
+            if len(held) > HELD:
+                yield out()
+                held = {}
+                top_s, top_i = np.zeros((0, k)), np.zeros((0, k), np.int64)
+        if held:
+            yield out()
 
     got = cells.select("leaf", "block", "q", "id", "x").mapInArrow(score, "query_id long, n array<struct<s: double, id: long>>")
     top = got.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("n")))), 1, k).alias("n"))
