@@ -57,13 +57,13 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OCR words from line items: a block per order, words per line number, Thai letters of the ship date's day."""
     l_ = table(spark, sf_dir, "lineitem")
     return l_.select(
-        F.col("l_orderkey").alias("page"), F.lit(1).alias("block"), (F.col("l_linenumber") % 2).alias("par"), (F.col("l_linenumber") % 3).alias("line"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("word"),
+        F.col("l_orderkey").alias("page"), F.lit(1).alias("block"), (F.col("l_linenumber") % 2).alias("par"), (F.col("l_linenumber") % 3).alias("line"), (F.col("l_partkey") * 1000 + F.col("l_quantity").cast("int") * 10 + F.col("l_linenumber")).alias("word"),
         (F.col("l_partkey") % 900).cast("int").alias("left"), (F.col("l_linenumber") % 3 * 40).cast("int").alias("top"), (F.col("l_suppkey") % 80 + 5).cast("int").alias("width"),
         F.col("l_quantity").cast("int").alias("height"), (F.floor(F.col("l_discount") * 1000 + 0.5) - F.floor(F.col("l_tax") * 100 + 0.5)).cast("double").alias("conf"),
         F.translate(F.concat(F.lower("l_returnflag"), F.lower("l_linestatus"), F.col("l_quantity").cast("int").cast("string")), C.LATIN, C.TO_THAI).alias("text"))
 
 
-OCR_WORDS = f"""ow AS (SELECT l_orderkey AS page, 1 AS block, l_linenumber % 2 AS par, l_linenumber % 3 AS line, l_partkey * 10 + l_linenumber AS word, (l_partkey % 900)::INT AS "left",
+OCR_WORDS = f"""ow AS (SELECT l_orderkey AS page, 1 AS block, l_linenumber % 2 AS par, l_linenumber % 3 AS line, l_partkey * 1000 + l_quantity::INT * 10 + l_linenumber AS word, (l_partkey % 900)::INT AS "left",
    (l_linenumber % 3 * 40)::INT AS top, (l_suppkey % 80 + 5)::INT AS width, l_quantity::INT AS height,
    (floor(l_discount * 1000 + 0.5) - floor(l_tax * 100 + 0.5))::DOUBLE AS conf,
    translate(lower(l_returnflag) || lower(l_linestatus) || l_quantity::INT::VARCHAR, '{C.LATIN}', '{C.TO_THAI}') AS text FROM lineitem)"""

@@ -514,3 +514,33 @@ def installed_aliases(spark, sf_dir):
     has = D.table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_nationkey").distinct()
     n = D.table(spark, sf_dir, "nation").join(has, F.col("n_nationkey") == F.col("c_nationkey"), "left")
     return n.select("n_nationkey", F.col("c_nationkey").isNotNull().alias("installed"))
+
+
+@query(f"WITH {D.DOC_LINES} SELECT doc_id, count(*) AS items, true AS exact FROM dl WHERE regexp_matches(text, '[^{C.SPACE}]') AND NOT regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') GROUP BY doc_id")
+def docx_roundtrip(spark, sf_dir):
+    """Lines written to one archive per document, read back and compared by position."""
+    from ..sources import office
+
+    lines = D.doc_lines(spark, sf_dir).where(F.col("text").rlike(f"[^{C.SPACE}]") & ~F.col("text").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"))
+    w = Window.partitionBy("doc_id").orderBy("line")
+    items = lines.select("doc_id", (F.row_number().over(w) - 1).alias("idx"), F.lit(0).alias("kind"), "text")
+    back = office.read_docx(office.write_docx(items, order="idx"))
+    r, _ = quality.positional_verify(items.select("doc_id", "idx", "text"), back)
+    return r.select("doc_id", F.col("items_total").alias("items"), "exact")
+
+
+@query(f"WITH {D.CELLS} SELECT doc_id, count(*) AS items_total, count(*) AS items_matched FROM ce GROUP BY doc_id")
+def xlsx_roundtrip(spark, sf_dir):
+    """Typed cells written to one workbook per document, read back and matched as a bag."""
+    from ..sources import office
+
+    c = quality.sheet_cells(D.cells(spark, sf_dir))
+    back = office.read_xlsx(office.write_xlsx(c.withColumn("col_no", F.row_number().over(Window.partitionBy("doc_id", "row_no").orderBy("ord", "value")))))
+    return quality.bag_match(c.select("doc_id", F.col("value").alias("text")), back).select("doc_id", "items_total", "items_matched")
+
+
+@query()
+def check_text(spark, sf_dir):
+    from ..streaming.analyze import check_text as check
+
+    return check(D.thai_docs(spark, sf_dir)).select("doc_id", F.md5(F.col("fixed").cast("binary")).alias("md5"), "n_issues", "audit.*", "visual_order_suspect", "codepoints")
