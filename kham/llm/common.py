@@ -48,6 +48,7 @@ class Workspace:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark remove shuffle files of plans that are done
         out = self.spark.read.schema(_nullable(df.schema)).parquet(path)
         out._kham_path = path
         return out

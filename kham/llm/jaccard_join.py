@@ -39,8 +39,8 @@ from .common import Workspace, components, crosswise, lower_az, mix, space_table
 _LOWER, _SPACE = lower_az(), space_table()
 _U64, _I64 = np.uint64, np.int64
 SALTS = 4
-#: Members of a block that one task searches at once.
-CHUNK = 4000
+#: Members of a block, and shingles of theirs, that one task searches at once.
+CHUNK, CHUNK_SHINGLES = 2000, 400_000
 #: Up to so many rows a side of ids is broadcast (two longs each).
 BROADCAST_ROWS = 2_000_000
 #: The cost ratio of DivideSkip's rule for the number of long lists, as published.
@@ -86,7 +86,7 @@ def required(n: int, m: int, t: int) -> int:
 
 
 def shards_of(level: int, t: int) -> int:
-    return max(1, most_apart(2 << level, 0, t) + 2, (1 << level) // 2)
+    return max(1, most_apart(2 << level, 0, t) + 2, (2 << level) // 5)
 
 
 def signatures(h: np.ndarray, t: int) -> np.ndarray:
@@ -242,25 +242,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         seen: set[int] = set()
         for b in batches:
             n, cls, sigs = [], [], []
-            for _, _, raws in text_blocks(b.column(1).to_pylist()):
+            for _, _, raws in text_blocks(b.column(1).to_pylist(), 1 << 20):
                 for h in shingle_sets(raws, width):
                     n.append(len(h))
                     cls.append(class_of(h) if len(h) else None)
                     sigs.append([] if cls[-1] in seen else signatures(h, threshold))
-                    if len(seen) < 1_000_000:  # only saves work: a class that emits again emits the same
+                    if len(seen) < 200_000:  # only saves work: a class that emits again emits the same
                         seen.add(cls[-1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "n", "cls", "sigs"])
 
     told = ws.stage(docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(
         first, f"id {kind.simpleString()}, n long, cls long, sigs array<long>"))
-    rows = told.select("id", "n", "cls")
+    rows = ws.stage(told.select("id", "n", "cls"))
     classes = ws.stage(rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")))
 
-    posts = told.select(F.explode("sigs").alias("sig"), "cls")
+    posts = told.select(F.explode("sigs").alias("sig"), "cls", "n")
     lists = ws.stage(posts.groupBy("sig").agg(F.min("cls").alias("h"), F.max("cls").alias("m")).where("h < m").select("sig", "h"))
     few = lists.count() <= broadcast_rows
-    pairs = ws.stage(posts.join(F.broadcast(lists) if few else lists, "sig").select("h", "cls").distinct())
-    blocks = pairs.groupBy("h").agg(F.count("*").alias("m"))
+    pairs = ws.stage(posts.join(F.broadcast(lists) if few else lists, "sig").select("h", "cls", "n").distinct())
+    ws.drop(told, lists)
+    blocks = pairs.groupBy("h").agg(F.greatest(F.count("*") / F.lit(chunk), F.sum("n") / F.lit(CHUNK_SHINGLES)).alias("m"))
 
     # whole texts again, only of the classes that are in a block: one row of each
     wanted = classes.join(pairs.select("cls").distinct(), "cls").select(F.col("rep").alias("id"), "cls")
@@ -270,7 +271,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             want, cls, sets = b.column(0).to_pylist(), [], []
-            for at, _, raws in text_blocks(b.column(1).to_pylist()):
+            for at, _, raws in text_blocks(b.column(1).to_pylist(), 1 << 20):
                 for k, h in enumerate(shingle_sets(raws, width)):
                     if len(h) and want[at + k] == class_of(h):
                         cls.append(want[at + k])
@@ -281,7 +282,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small = n_wanted <= broadcast_rows
     sets = side.join(F.broadcast(wanted) if small else wanted, side["id"].eqNullSafe(wanted["id"])).select("cls", "text").mapInArrow(second, "cls long, set binary")
     sized = pairs.join(blocks, "h")
-    sized = sized.withColumn("chunks", F.ceil(F.col("m") / F.lit(chunk)).cast("int"))
+    sized = sized.withColumn("chunks", F.ceil("m").cast("int"))
     spot = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     cells = sized.withColumn("cell", F.explode(F.when(F.col("cls") == F.col("h"), every).otherwise(F.array(spot)))).select("h", "cls", F.col("cell").cast("long").alias("cell"))

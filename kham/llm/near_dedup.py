@@ -242,7 +242,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
         leaves = rows.select("id", "f").mapInArrow(place, "id long, f binary, leaf long")
         leaves = ws.stage(leaves)
-        many = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(block // 4)).alias("nb"))
+        many = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(max(256, block // 4))).alias("nb"))
         dealt = leaves.join(many, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("nb")).cast("long"))
         g = ws.stage(_keep(_pairs_of_groups(dealt, ["leaf", "part"], d, k, False), k))
         g = descend(ws, g, packed, d, k, rounds, few)
