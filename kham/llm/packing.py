@@ -59,6 +59,13 @@ class WordIds:
 _IDS: dict[str, WordIds] = {}
 
 
+def word_ids(path: str) -> WordIds:
+    """The worker's own encoder of a file; a function of this module, so that its memo outlives a task."""
+    if path not in _IDS:
+        _IDS[path] = WordIds(path)
+    return _IDS[path]
+
+
 class Packer:
     """Packs one stream. An item is [length, order, start, document's row]; rows come out as pieces."""
 
@@ -151,9 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _IDS:
-            _IDS[tokenizer] = WordIds(tokenizer)
-        ids = _IDS[tokenizer]
+        ids = word_ids(tokenizer)
         p = Packer(length, tiers, step_tokens, buffer, TaskContext.get().partitionId() << LOCAL_BITS)
         for batch in batches:
             for d, t in zip(batch.column(0), batch.column(1), strict=True):
