@@ -72,7 +72,7 @@ class Scanner:
     def cosine(self, words: list[str]) -> tuple[float, str] | None:
         """The best (score, licence) at or above the threshold of one unit."""
         v = {w: n * self.idf.get(w, self.other) for w, n in Counter(words).items() if w not in COMMON}
-        norm = math.sqrt(sum(x * x for x in v.values()))
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         best = None
         for name, t in self.templates:
             s = sum(x * v[w] for w, x in t.items() if w in v) / norm

@@ -100,6 +100,11 @@ def url_filters(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     return df.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
+def _weight(rule: str) -> tuple[int, int]:
+    """Length of a rule, then of its host: paths of rules that fit are empty or start with a slash."""
+    return len(rule), (rule + "/").index("/")
+
+
 def _swept(df: DataFrame, rules: list[tuple[str, str, str]], kind) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(rules)
 
@@ -110,7 +115,7 @@ def _swept(df: DataFrame, rules: list[tuple[str, str, str]], kind) -> DataFrame:
             rule, verdict = [], []
             for key, path, r, v in zip(*cols, strict=True):
                 got = sweep.match(key, path)
-                if got and (r is None or len(got[0]) > len(r)):
+                if got and (r is None or _weight(got[0]) > _weight(r)):
                     r, v = got
                 rule.append(r)
                 verdict.append(v)
