@@ -111,7 +111,7 @@ def brute_ctw(train, test, depth=lm_scoring.DEPTH):
             a, b = nodes[k]
             own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
             below = None if len(k[0]) == depth else sum(weight(x)[0] for x in kids[k])
-            memo[k] = (own, 1.0) if below is None else (np.logaddexp(own, below) - math.log(2), 1 / (1 + math.exp(below - own)))
+            memo[k] = (own, 1.0) if below is None else (np.logaddexp(own, below) - math.log(2), 1 / (1 + math.exp(min(700, below - own))))
         return memo[k]
 
     def q(ctx, p, d):
