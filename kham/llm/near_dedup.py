@@ -1,7 +1,9 @@
 """Near-duplicate vectors by NN-descent.
 
-1. A k-means tree of a bounded sample deals rows to leaves; within blocks of a leaf every row gets its first k
-   neighbours.
+0. Rows with equal unit vectors form a class, represented by its least id; classes are compared once, whatever the
+   number of copies, and counts are weighted by it.
+1. A k-means tree of a bounded sample deals classes to leaves; within blocks of a leaf every class gets its first k
+   neighbours. Some 16 members of a leaf are in all its blocks, so that one group over many blocks stays connected.
 2. NN-descent: neighbours and reverse neighbours of a row meet as candidates for each other (neighbours of neighbours);
    each keeps its k best; rounds go on until few lists change. Lists that are saturated - the last one still at the
    threshold - are enlarged fourfold and refined again.
@@ -13,9 +15,9 @@
    a link, are compared with all rows. While either recall is below `target`, another seed adds its edges (`ROUNDS`
    graphs at most).
 
-Invalid vectors (see `valid_vectors`) link with nothing and are their own component. Rows that repeat an id are each
-compared; they count as each other's links if their vectors reach the threshold. Null ids link with nothing. An empty
-table gives an empty result.
+Invalid vectors (see `valid_vectors`) link with nothing and are their own component. Rows that repeat an id are one node
+with the links of all of them; equal rows count as each other's links. Null ids link with nothing. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -146,26 +148,26 @@ def descend(ws: Workspace, g: DataFrame, packed: DataFrame, d: int, k: int, roun
 
 
 def _component_cells(rows: DataFrame, sized: DataFrame, block: int) -> DataFrame:
-    """(c, i, j, id, mine, x): members of each component in block i or j of it; cells need i <= j."""
-    m = rows.join(sized, "c").withColumn("nb", F.ceil(F.col("m") / F.lit(block)).cast("int"))
+    """(c, i, j, id, mine, x, m): members of each component in block i or j of it; cells need i <= j."""
+    m = rows.join(sized, "c").withColumn("nb", F.ceil(F.col("size") / F.lit(block)).cast("int"))
     m = m.withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return m.select("c", F.least("b", "o").cast("long").alias("i"), F.greatest("b", "o").cast("long").alias("j"), F.col("b").cast("long").alias("mine"), "id", "x")
+    return m.select("c", F.least("b", "o").cast("long").alias("i"), F.greatest("b", "o").cast("long").alias("j"), F.col("b").cast("long").alias("mine"), "id", "x", "m")
 
 
 def exact_in_components(ws: Workspace, rows: DataFrame, sized: DataFrame, d: int, threshold: float, block: int) -> DataFrame:
-    """(id, n, to): of each member its links within a block pair, and an edge of a spanning forest of those links."""
+    """(id, n, to): of each class its links with other classes within a block pair, copies counted, and an edge of a spanning forest of those links."""
     cells = _component_cells(rows, sized, block)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for (_, i, j), (mine, ids, x) in _runs(batches, 3):
-            mine, ids = mine.to_numpy(), ids.to_numpy()
+        for (_, i, j), (mine, ids, x, m) in _runs(batches, 3):
+            mine, ids, m = mine.to_numpy(), ids.to_numpy(), m.to_numpy()
             v = _vecs(x, np.float64, d)
             s = v @ v.T >= threshold
             np.fill_diagonal(s, False)
             if i != j:
                 s &= mine[:, None] != mine[None]
-            n, to = s.sum(1), ids.copy()
+            n, to = np.where(s, m[None], 0).sum(1), ids.copy()
             seen = np.zeros(len(ids), bool)
             for start in np.flatnonzero(n):
                 if seen[start]:
@@ -184,7 +186,7 @@ def exact_in_components(ws: Workspace, rows: DataFrame, sized: DataFrame, d: int
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "n", "to"])
 
-    return ws.stage(_streamed(cells, ["c", "i", "j"], ["mine", "id", "x"], work, "id long, n long, to long"))
+    return ws.stage(_streamed(cells, ["c", "i", "j"], ["mine", "id", "x", "m"], work, "id long, n long, to long"))
 
 
 def audit(rows: DataFrame, counted: DataFrame, d: int, threshold: float) -> tuple[int, int]:
@@ -204,10 +206,11 @@ def audit(rows: DataFrame, counted: DataFrame, d: int, threshold: float) -> tupl
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                total += (q @ _vecs(part.column(1), np.float64, d).T >= threshold).sum(1)
+                near = q @ _vecs(part.column(1), np.float64, d).T >= threshold
+                total += np.where(near, part.column(2).to_numpy()[None], 0).sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "t"])
 
-    there = rows.select("id", "x").mapInArrow(run, "id long, t long").groupBy("id").agg((F.sum("t") - 1).alias("t"))
+    there = rows.select("id", "x", "m").mapInArrow(run, "id long, t long").groupBy("id").agg((F.sum("t") - 1).alias("t"))
     r = there.join(counted, "id", "left").agg(F.sum(F.least(F.coalesce("links", F.lit(0)), "t")), F.sum("t")).first()
     return int(r[0] or 0), int(r[1] or 0)
 
@@ -226,7 +229,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([r.tobytes() for r in v], pa.binary()),
                                               pa.array([r.tobytes() for r in v.astype(np.float32)], pa.binary())], names=["id", "x", "f"])
 
-    rows = ws.stage(good.mapInArrow(pack, "id long, x binary, f binary"))
+    every = ws.stage(good.mapInArrow(pack, "id long, x binary, f binary"))
+    rows = ws.stage(every.groupBy("x", "f").agg(F.min("id").alias("id"), F.count("*").alias("m")).select("id", "x", "f", "m"))
     n = rows.count()
     packed = rows.select("id", "f").dropDuplicates(["id"])
     packed = F.broadcast(packed) if n * (4 * d + 32) <= broadcast_bytes else packed
@@ -242,8 +246,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
         leaves = rows.select("id", "f").mapInArrow(place, "id long, f binary, leaf long")
         leaves = ws.stage(leaves)
-        many = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(max(256, block // 4))).alias("nb"))
-        dealt = leaves.join(many, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("nb")).cast("long"))
+        part_size = max(256, block // 4)
+        many = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(part_size)).alias("nb"))
+        dealt = leaves.join(many, "leaf").withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("nb")))
+        bridge = F.pmod(F.xxhash64("id", F.lit(seed + ROUNDS)), part_size // 16 * F.col("nb")) == 0
+        dealt = dealt.withColumn("part", F.explode(F.when(bridge, F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).otherwise(F.array("part"))))
         g = ws.stage(_keep(_pairs_of_groups(dealt, ["leaf", "part"], d, k, False), k))
         g = descend(ws, g, packed, d, k, rounds, few)
         low = float(threshold) - 1e-5
@@ -255,14 +262,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         missed = 1.0
         if counted is not None:
             nodes = near.select("u").distinct()
-            missed = nodes.join(counted.where("links > 0"), nodes["u"] == counted["id"], "left_anti").count() / max(1, nodes.count())
+            missed = nodes.join(counted.where("others > 0"), nodes["u"] == counted["id"], "left_anti").count() / max(1, nodes.count())
         found = near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
         found = ws.stage((found if links is None else found.union(links)).distinct())
         links = found
         label = components(ws, links).select(F.col("node").alias("id"), F.col("component_id").alias("c"))
-        sized = rows.join(label, "id").groupBy("c").agg(F.count("*").alias("m"))
-        cells = exact_in_components(ws, rows.select("id", "x").join(label, "id"), sized, d, threshold, block)
-        counted = cells.groupBy("id").agg(F.sum("n").alias("links"))
+        sized = rows.join(label, "id").groupBy("c").agg(F.count("*").alias("size"))
+        cells = exact_in_components(ws, rows.select("id", "x", "m").join(label, "id"), sized, d, threshold, block)
+        others = cells.groupBy("id").agg(F.sum("n").alias("others"))
+        copies = rows.groupBy("id").agg(F.sum(F.col("m") - 1).alias("copies"))
+        counted = ws.stage(copies.join(others, "id", "left").fillna(0, ["others"]).select("id", "others", (F.col("others") + F.col("copies")).alias("links")))
         got, there = audit(rows, counted, d, threshold)
         recall = got / there if there else 1.0
         ws.drop(g, leaves)
@@ -270,10 +279,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             break
     ids = vectors.select(F.col(id_col).alias("id"))
     if counted is None:
-        out = ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
+        counted = rows.select("id", (F.col("m") - 1).alias("links"))
+        label = rows.select(F.col("id").alias("node"), F.col("id").alias("component_id"))
     else:
         label = components(ws, cells.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
-        out = ids.join(counted, "id", "left").join(label.withColumnRenamed("node", "id"), "id", "left").select(
-            "id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("id").cast("long")).alias("component_id"))
+    told = counted.join(label, counted["id"] == label["node"], "left").select(F.col("id").alias("rep"), "links", F.coalesce("component_id", "id").alias("c"))
+    sized = lambda df, size, many: F.broadcast(df) if many * size <= broadcast_bytes else df
+    groups = rows.where("m > 1").select("x", F.col("id").alias("rep"))
+    members = every.select("id", "x").join(sized(groups, 8 * d + 32, groups.count()), "x").where("id <> rep").select(F.col("id").alias("copy"), "rep").distinct()
+    out = ids.join(members, ids["id"] == members["copy"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    out = out.join(sized(told, 48, n), "rep", "left").select(
+        "id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", F.col("id").cast("long")).alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"),
                       F.lit(round(recall, 4)).alias("audit_recall"))

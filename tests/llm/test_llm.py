@@ -76,19 +76,21 @@ def test_near_dedup(spark):
     x[100:180] = x[100] + rng.normal(size=(80, 16)) * 0.02
     for i in range(0, 40, 2):
         x[i + 1] = 3 * x[i] + rng.normal(size=16) * 0.05
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(500, None), (501, [0.0] * 16), (502, [float("inf")] * 16)]
+    x = np.vstack([x, np.repeat(x[200:201], 700, 0), x[201] + rng.normal(size=(700, 16)) * 0.01])  # larger than a block of a leaf
+    at = [*range(400), *range(1000, 2400)]
+    rows = [(i, [float(v) for v in r]) for i, r in zip(at, x)] + [(500, None), (501, [0.0] * 16), (502, [float("inf")] * 16)]
     got = {r["vec_id"]: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=32).collect()}
     v = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = v @ v.T >= 0.9
     np.fill_diagonal(s, False)
-    lab = np.arange(400)
+    lab = np.array(at)
     for _ in range(400):
-        new = np.minimum(lab, np.where(s, lab[None], 999).min(1))
+        new = np.minimum(lab, np.where(s, lab[None], 9999).min(1))
         if (new == lab).all():
             break
         lab = new
-    wrong = [i for i in range(400) if (got[i]["n_links"], got[i]["component_id"]) != (int(s[i].sum()), int(lab[i]))]
-    assert len(wrong) <= 4 and len(got) == 403
+    wrong = [i for k, i in enumerate(at) if (got[i]["n_links"], got[i]["component_id"]) != (int(s[k].sum()), int(lab[k]))]
+    assert len(wrong) <= 4 and len(got) == 1803
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (500, 501, 502))
 
 
