@@ -12,8 +12,9 @@ A document's set holds the 64-bit hashes of its distinct n-word shingles. Docume
 2. Inverted lists of signatures give each member the list's least class as its *head*; a block is all members of a head.
 3. *T-occurrence search* in each block, over inverted lists of shingles: a record needs T = t*n of its lists to hold a
    partner. The L longest lists are set aside, the short ones are heap-merged, and records that occur T - L times are
-   probed in the long lists by binary search (DivideSkip); the overlap required by both sizes decides. Records already
-   known to be connected are skipped, so a block of m copies gives m - 1 links.
+   probed in the long lists by binary search (DivideSkip); the overlap required by both sizes decides. Large
+   components have their own indexes and need one hit; records already known to be connected are skipped, so a block
+   of m copies gives m - 1 links.
 4. Large blocks are dealt into chunks, each with the head; what isn't connected to the head is then searched against all
    chunks. So no block is gathered in one task, and no pair is lost.
 5. Components of the links, by joins.
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ _U64, _I64 = np.uint64, np.int64
 SALTS = 4
 #: Members of a block, and shingles of theirs, that one task searches at once.
 CHUNK, CHUNK_SHINGLES = 2000, 400_000
+#: Records of a component from which it has an index of its own.
+LARGE = 16
 #: Up to so many rows a side of ids is broadcast (two longs each).
 BROADCAST_ROWS = 2_000_000
 #: The cost ratio of DivideSkip's rule for the number of long lists, as published.
@@ -121,14 +124,18 @@ def class_of(h: np.ndarray) -> int:
 
 
 class Index:
-    """Inverted lists of a block's records, added in order of their numbers."""
+    """Inverted lists of a block's records, sorted by their numbers."""
 
     def __init__(self):
         self.lists: dict[int, list[int]] = {}
 
     def add(self, record: int, shingles: list[int]) -> None:
         for x in shingles:
-            self.lists.setdefault(x, []).append(record)
+            insort(self.lists.setdefault(x, []), record)
+
+    def drop(self, record: int, shingles: list[int]) -> None:
+        for x in shingles:
+            self.lists[x].remove(record)
 
     def search(self, shingles: list[int], sizes: list[int], t: int) -> Iterator[int]:
         """Records whose Jaccard with the given set is at least t hundredths, by DivideSkip."""
@@ -146,13 +153,15 @@ class Index:
             if r == last:
                 count += 1
                 continue
-            if last >= 0 and count >= need and self._probe(last, count, long_, required(n, sizes[last], t)):
+            if last >= 0 and count >= need and self._probe(last, count, long_, required(n, sizes[last], t), min(n, sizes[last])):
                 yield last
             last, count = r, 1
 
     @staticmethod
-    def _probe(record: int, count: int, lists: list[list[int]], need: int) -> bool:
+    def _probe(record: int, count: int, lists: list[list[int]], need: int, most: int) -> bool:
         left = len(lists)
+        if need > most:
+            return False
         for x in lists:
             if count >= need or count + left < need:
                 break
@@ -162,10 +171,11 @@ class Index:
         return count >= need
 
 
-def search_block(sets: list[np.ndarray], t: int) -> list[tuple[int, int]]:
-    """Links that connect what the block's records connect; the first record is the head.
+def search_block(sets: list[np.ndarray], t: int, labels: list[int]) -> list[tuple[int, int]]:
+    """Links that connect what the block's records connect; records with equal labels are known to be connected.
 
-    Records connected to the head are indexed apart: another one that matches the head needs no search among them.
+    Each large component, and that of the first record, has an index of its own: it needs one hit and no search at all
+    by records connected to it. All other records share one index.
     """
     up = list(range(len(sets)))
 
@@ -175,47 +185,73 @@ def search_block(sets: list[np.ndarray], t: int) -> list[tuple[int, int]]:
             i = up[i]
         return i
 
-    links, sizes, main, rest = [], [len(x) for x in sets], Index(), Index()
-
-    def join(a: int, b: int) -> None:
-        a_, b_ = root(a), root(b)
-        if a_ != b_:
-            up[max(a_, b_)] = min(a_, b_)
-            links.append((a, b))
+    links, sizes = [], [len(x) for x in sets]
+    homes: list[tuple[int, Index]] = []
+    rest, loose = Index(), {}  # the shared index, and its records by root
+
+    def unite(a: int, b: int) -> bool:
+        a, b = sorted((root(a), root(b)))
+        if a != b:
+            up[b] = a
+            if b in loose:
+                loose.setdefault(a, []).extend(loose.pop(b))
+        return a != b
+
+    def settle(i: int) -> None:
+        """Indexes a record in its component's index; records of the shared index move there too."""
+        r = root(i)
+        home = next((x for f, x in homes if root(f) == r), None)
+        moving = loose.get(r, [])
+        if home is None and (not i or len(moving) >= LARGE):
+            homes.append((i, home := Index()))
+        if home is None:
+            rest.add(i, sets[i].tolist())
+            loose.setdefault(r, []).append(i)
+            return
+        for j in loose.pop(r, ()):
+            rest.drop(j, sets[j].tolist())
+            home.add(j, sets[j].tolist())
+        home.add(i, sets[i].tolist())
 
+    first: dict[int, int] = {}
     for i, x in enumerate(sets):
+        unite(i, first.setdefault(labels[i], i))
         shingles = x.tolist()
-        if i and len(np.intersect1d(x, sets[0], assume_unique=True)) >= required(len(x), sizes[0], t):
-            join(i, 0)
-        elif i and (hit := next(main.search(shingles, sizes, t), None)) is not None:
-            join(i, hit)
+        for f, home in homes:
+            if root(f) != root(i):
+                need = required(sizes[i], sizes[f], t)
+                near = need <= min(sizes[i], sizes[f]) and len(np.intersect1d(x, sets[f], assume_unique=True)) >= need
+                hit = f if near else next(home.search(shingles, sizes, t), None)
+                if hit is not None and unite(i, hit):
+                    links.append((i, hit))
         for j in rest.search(shingles, sizes, t):
-            if root(j) != root(i):
-                join(i, j)
-        (main if root(i) == 0 else rest).add(i, shingles)
+            if unite(i, j):
+                links.append((i, j))
+        settle(i)
     return links
 
 
 def _blocks(spread: DataFrame, t: int) -> DataFrame:
-    """(a, b): links found in each cell of (h, cell, cls, set)."""
+    """(a, b): links found in each cell of (h, cell, cls, l, set); classes with equal l are connected already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets, out = None, [], [], []
+        now, ids, sets, labels, out = None, [], [], [], []
 
         def done() -> None:
             if len(ids) > 1:
-                out.extend((ids[i], ids[j]) for i, j in search_block(sets, t))
+                out.extend((ids[i], ids[j]) for i, j in search_block(sets, t, labels))
 
         for b in batches:
-            heads, cells, cls = (b.column(i).to_pylist() for i in range(3))
+            heads, cells, cls, label = (b.column(i).to_pylist() for i in range(4))
             for i, key in enumerate(zip(heads, cells, strict=True)):
                 if key != now:
                     done()
-                    now, ids, sets = key, [], []
+                    now, ids, sets, labels = key, [], [], []
                 if ids and cls[i] == ids[-1]:  # a repeated row
                     continue
                 ids.append(cls[i])
-                sets.append(np.frombuffer(b.column(3)[i].as_py(), _U64))
+                labels.append(label[i])
+                sets.append(np.frombuffer(b.column(4)[i].as_py(), _U64))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
                 out = []
@@ -224,7 +260,7 @@ def _blocks(spread: DataFrame, t: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
     n = crosswise(spread.sparkSession)
-    ordered = spread.select("h", "cell", "cls", "set").repartition(n, "h", "cell").sortWithinPartitions("h", "cell", F.col("cls") != F.col("h"), "cls")
+    ordered = spread.select("h", "cell", "cls", "l", "set").repartition(n, "h", "cell").sortWithinPartitions("h", "cell", F.col("cls") != F.col("h"), "cls")
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -286,7 +322,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spot = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     cells = sized.withColumn("cell", F.explode(F.when(F.col("cls") == F.col("h"), every).otherwise(F.array(spot)))).select("h", "cls", F.col("cell").cast("long").alias("cell"))
-    links = ws.stage(_blocks(sets.join(F.broadcast(cells) if sized.count() <= broadcast_rows and small else cells, "cls"), threshold))
+    links = ws.stage(_blocks(sets.join(F.broadcast(cells) if sized.count() <= broadcast_rows and small else cells, "cls").withColumn("l", F.col("cls")), threshold))
 
     labels = components(ws, links)
     big = sized.where("chunks > 1")
@@ -300,10 +336,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # a loose member meets all chunks, every other member the parts of the loose ones
         again = named.withColumn("r", F.explode(F.when(F.col("loose"), F.array(part)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
         again = again.withColumn("c", F.explode(F.when(F.col("loose"), every).otherwise(F.array("spot"))))
-        cross = again.select("h", "cls", (F.col("r").cast("long") * F.col("chunks") + F.col("c")).alias("cell"))
-        own = named.where("loose").select("h", "cls", part.alias("r"), "parts")  # and the loose ones meet each other
+        cross = again.select("h", "cls", "l", (F.col("r").cast("long") * F.col("chunks") + F.col("c")).alias("cell"))
+        own = named.where("loose").select("h", "cls", "l", part.alias("r"), "parts")  # and the loose ones meet each other
         own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-            "h", "cls", (-1 - F.least("r", "o").cast("long") * F.col("parts") - F.greatest("r", "o")).alias("cell"))
+            "h", "cls", "l", (-1 - F.least("r", "o").cast("long") * F.col("parts") - F.greatest("r", "o")).alias("cell"))
         more = ws.stage(_blocks(sets.join(cross.union(own).distinct(), "cls"), threshold))
         links = links.union(more)
         labels = components(ws, links)
