@@ -6,7 +6,9 @@
    neighbours. Some 16 members of a leaf are in all its blocks, so that one group over many blocks stays connected.
 2. NN-descent: neighbours and reverse neighbours of a row meet as candidates for each other (neighbours of neighbours);
    each keeps its k best; rounds go on until few lists change. Lists that are saturated - the last one still at the
-   threshold - are enlarged fourfold and refined again.
+   threshold - are enlarged fourfold and refined again. As longer lists may be full too, the rows of saturated lists are
+   compared with those of other components, as far as the components' balls can touch; a link of a row whose list isn't
+   saturated is in that list.
 3. Edges at the threshold connect components. Within a component all members are compared exactly, in double precision,
    block against block, which gives each member's number of links and a spanning set of exact links; only counts and
    spanning links leave a block, so a group of m copies doesn't emit its m*m links.
@@ -22,6 +24,7 @@ an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,6 +192,88 @@ def exact_in_components(ws: Workspace, rows: DataFrame, sized: DataFrame, d: int
     return ws.stage(_streamed(cells, ["c", "i", "j"], ["mine", "id", "x", "m"], work, "id long, n long, to long"))
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of edges that span what all edges (a, b) connect."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    keep = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if (x := top(x)) != (y := top(y)):
+            root[x] = y
+            keep.append(i)
+    return np.array(keep, np.int64)
+
+
+def _touching(ids: np.ndarray, c: np.ndarray, v: np.ndarray, own: dict, low: float) -> list[np.ndarray]:
+    """[(id, other id, label, other label)] of rows (ids, c, v) and rows of other labels of a chunk at `low` or above, one
+    for each row and ball.
+
+    The chunk `own` has its rows sorted by label, a ball for each label: a row is compared with the rows of a ball only if
+    the angles allow a link.
+    """
+    centre = np.clip(v @ own["centre"].T, -1, 1)
+    may = (np.arccos(centre) <= own["reach"][None]) & (c[:, None] != own["c"][None])
+    out = []
+    for k in np.flatnonzero(may.any(0)):
+        at, cut = np.flatnonzero(may[:, k]), slice(own["start"][k], own["start"][k + 1])
+        s = v[at] @ own["v"][cut].T
+        best = s.argmax(1)
+        hit = np.flatnonzero(s[np.arange(len(at)), best] >= low)
+        if len(hit):
+            out.append(np.stack([ids[at[hit]], own["ids"][cut][best[hit]], c[at[hit]], np.full(len(hit), own["c"][k])]))
+    return out
+
+
+def bridges(ws: Workspace, labelled: DataFrame, n: int, d: int, low: float, chunk_bytes: int) -> DataFrame:
+    """(a, b): links that join what exact comparison of all rows (id, f, c) of different labels c would join.
+
+    The rows are read in chunks of about `chunk_bytes`, each broadcast to all rows; of the links between labels only
+    spanning ones leave a batch.
+    """
+    spark = ws.spark
+    labelled = ws.stage(labelled.select("id", "f", "c"))
+    chunks = max(1, -(-n * (4 * d + 16) // chunk_bytes))
+    found = None
+    for k in range(chunks):
+        got = labelled.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(chunks)) == k).toArrow()
+        ids, c, v = got["id"].to_numpy(), got["c"].to_numpy(), _vecs(got["f"], np.float32, d)
+        if not len(ids):
+            continue
+        order = np.argsort(c, kind="stable")
+        ids, c, v = ids[order], c[order], v[order]
+        start = np.append(np.flatnonzero(np.append(True, c[1:] != c[:-1])), len(c))
+        size = np.diff(start)
+        centre = np.add.reduceat(v.astype(np.float64), start[:-1])
+        norm = np.linalg.norm(centre, axis=1, keepdims=True)
+        centre = np.where(norm > 1e-9, centre / np.maximum(norm, 1e-9), v[start[:-1]]).astype(np.float32)
+        away = np.arccos(np.clip((v * np.repeat(centre, size, 0)).sum(1), -1, 1))
+        reach = np.maximum.reduceat(away, start[:-1]) + math.acos(max(-1.0, min(1.0, low))) + 2e-3  # float32 angles near 0 are that coarse
+        shared = spark.sparkContext.broadcast({"ids": ids, "c": c[start[:-1]], "v": v, "start": start, "centre": centre, "reach": reach})
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            step = max(16, min(1024, (1 << 23) // len(own["c"])))
+            for b in batches:
+                parts = []
+                for at in range(0, b.num_rows, step):
+                    p = b.slice(at, step)
+                    parts += _touching(p.column(0).to_numpy(), p.column(2).to_numpy(), _vecs(p.column(1), np.float32, d), own, low)
+                if parts:
+                    u, o, cu, co = np.concatenate(parts, 1)
+                    keep = _forest(cu, co)
+                    yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(o[keep])], names=["a", "b"])
+
+        part = ws.stage(labelled.repartition(crosswise(spark)).mapInArrow(run, "a long, b long"))
+        shared.unpersist()
+        found = part if found is None else found.union(part)
+    return labelled.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if found is None else found
+
+
 def audit(rows: DataFrame, counted: DataFrame, d: int, threshold: float) -> tuple[int, int]:
     """(links found, links there are) of a bounded set of rows, against all rows."""
     linked = rows.join(counted.where("links > 0").select("id"), "id", "left_semi")
@@ -235,6 +320,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     packed = rows.select("id", "f").dropDuplicates(["id"])
     packed = F.broadcast(packed) if n * (4 * d + 32) <= broadcast_bytes else packed
     links, counted, recall = None, None, 1.0
+    labels_of = lambda e: components(ws, e).select(F.col("node").alias("id"), F.col("component_id").alias("c"))
     for seed in range(ROUNDS if n > 1 else 0):
         _, sample = sample_rows(good, FIT, d, seed)
         tree = spark.sparkContext.broadcast(Tree(_unit(sample), max(8, LEAF * len(sample) // max(n, 1)), seed=seed))
@@ -254,9 +340,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         g = ws.stage(_keep(_pairs_of_groups(dealt, ["leaf", "part"], d, k, False), k))
         g = descend(ws, g, packed, d, k, rounds, few)
         low = float(threshold) - 1e-5
-        full = g.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("s")).where(f"n >= {k} and s >= {low}").select("u")
+        full = ws.stage(g.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("s")).where(f"n >= {k} and s >= {low}").select("u"))
+        n_full = full.count()
         near = g.where(F.col("s") >= low)
-        if full.limit(1).count():  # saturated lists: fourfold, among their own neighbours of neighbours
+        if n_full:  # saturated lists: fourfold, among their own neighbours of neighbours
             sat = ws.stage(near.join(full, "u", "left_semi"))
             near = near.unionByName(descend(ws, sat, packed, d, 4 * k, 2, few).where(F.col("s") >= low))
         missed = 1.0
@@ -264,9 +351,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             nodes = near.select("u").distinct()
             missed = nodes.join(counted.where("others > 0"), nodes["u"] == counted["id"], "left_anti").count() / max(1, nodes.count())
         found = near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-        found = ws.stage((found if links is None else found.union(links)).distinct())
-        links = found
-        label = components(ws, links).select(F.col("node").alias("id"), F.col("component_id").alias("c"))
+        links = ws.stage((found if links is None else found.union(links)).distinct())
+        label = labels_of(links)
+        if n_full:
+            dense = rows.select("id", "f").join(label, "id").join(full.withColumnRenamed("u", "id"), "id", "left_semi")
+            more = bridges(ws, dense, n_full, d, low, broadcast_bytes)
+            if more.limit(1).count():
+                links = ws.stage(links.union(more).distinct())
+                label = labels_of(links)
         sized = rows.join(label, "id").groupBy("c").agg(F.count("*").alias("size"))
         cells = exact_in_components(ws, rows.select("id", "x", "m").join(label, "id"), sized, d, threshold, block)
         others = cells.groupBy("id").agg(F.sum("n").alias("others"))

@@ -94,6 +94,36 @@ def test_near_dedup(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (500, 501, 502))
 
 
+def linked(x, threshold=0.9):
+    """(links of each row, least row of its component) by comparing all."""
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = v @ v.T >= threshold
+    np.fill_diagonal(s, False)
+    lab = np.arange(len(x))
+    while (new := np.minimum(lab, np.where(s, lab[None], len(x)).min(1))).tolist() != lab.tolist():
+        lab = new
+    return s.sum(1).tolist(), lab.tolist()
+
+
+def near_dedup_rows(spark, x, **how):
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(near_dedup.near_duplicates(df, **how).collect(), key=lambda r: r["vec_id"])
+    return ([r["n_links"] for r in got], [r["component_id"] for r in got]), got
+
+
+def test_near_dedup_links_dense_groups(spark):
+    """Two groups of 200 whose members have more nearer neighbours in their own group than any list holds."""
+    rng = np.random.default_rng(5)
+    centre = np.eye(64)[:2].repeat(200, 0)
+    centre[200:, 0] = math.cos(math.radians(20))
+    centre[200:, 1] = math.sin(math.radians(20))
+    centre[:200, 1] = 0
+    x = np.concatenate([centre + rng.normal(0, 0.012, (400, 64)), rng.normal(0, 1, (60, 64))])
+    want = linked(x)
+    assert max(want[1][:400]) == 0 and sum(want[0]) > 2 * 200 * 199
+    assert near_dedup_rows(spark, x)[0] == want
+
+
 def brute_ctw(train, test, depth=lm_scoring.DEPTH):
     nodes = {}
     form = lambda t: [lm_scoring.PAD] * depth + [c + 32 if 65 <= c <= 90 else c for c in t] + [lm_scoring.END]
