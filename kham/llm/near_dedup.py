@@ -12,10 +12,11 @@
 3. Edges at the threshold connect components. Within a component all members are compared exactly, in double precision,
    block against block, which gives each member's number of links and a spanning set of exact links; only counts and
    spanning links leave a block, so a group of m copies doesn't emit its m*m links.
-4. Audit: the whole is done with a second tree and seed, and the rows that only the second graph links tell what share
-   one graph misses; two independent graphs miss about its square. Up to `PROBES` rows of least hash, half of them with
-   a link, are compared with all rows. While either recall is below `target`, another seed adds its edges (`ROUNDS`
-   graphs at most).
+4. Audit: the whole is done with a second tree and seed, and the rows that only the second graph links tell what share m
+   one graph misses; so many independent graphs miss about that power of m. Up to `PROBES` rows of least hash, half of
+   them with a link, are compared with all rows; each row with links to other vectors counts the same, whatever their
+   number. While either recall is below `target`, another seed adds its edges. If it still is after `ROUNDS` graphs, all
+   rows are compared exactly, which costs the square of the table. `audit_recall` is the lesser of both recalls.
 
 Invalid vectors (see `valid_vectors`) link with nothing and are their own component. Rows that repeat an id are one node
 with the links of all of them; equal rows count as each other's links. Null ids link with nothing. An empty table gives
@@ -274,14 +275,14 @@ def bridges(ws: Workspace, labelled: DataFrame, n: int, d: int, low: float, chun
     return labelled.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if found is None else found
 
 
-def audit(rows: DataFrame, counted: DataFrame, d: int, threshold: float) -> tuple[int, int]:
-    """(links found, links there are) of a bounded set of rows, against all rows."""
-    linked = rows.join(counted.where("links > 0").select("id"), "id", "left_semi")
+def audit(rows: DataFrame, counted: DataFrame, d: int, threshold: float) -> float:
+    """The mean share of its links with other vectors that a row has, of those that have any in a bounded set of rows."""
+    linked = rows.join(counted.where("others > 0").select("id"), "id", "left_semi")
     half = PROBES // 2
     probes = {r["id"]: (bytes(r["x"])) for part, salt in ((linked, 5), (rows, 6)) for r in
               part.orderBy(F.xxhash64("id", F.lit(salt))).limit(half).select("id", "x").collect()}
     if not probes:
-        return 0, 0
+        return 1.0
     ids, q = np.array(list(probes)), np.frombuffer(b"".join(probes.values()), np.float64).reshape(-1, d)
     shared = rows.sparkSession.sparkContext.broadcast((ids, q))
 
@@ -295,9 +296,16 @@ def audit(rows: DataFrame, counted: DataFrame, d: int, threshold: float) -> tupl
                 total += np.where(near, part.column(2).to_numpy()[None], 0).sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "t"])
 
-    there = rows.select("id", "x", "m").mapInArrow(run, "id long, t long").groupBy("id").agg((F.sum("t") - 1).alias("t"))
-    r = there.join(counted, "id", "left").agg(F.sum(F.least(F.coalesce("links", F.lit(0)), "t")), F.sum("t")).first()
-    return int(r[0] or 0), int(r[1] or 0)
+    there = rows.select("id", "x", "m").mapInArrow(run, "id long, t long").groupBy("id").agg(F.sum("t").alias("t"))
+    own = rows.groupBy("id").agg(F.sum("m").alias("own"))
+    left = there.join(own, "id").select("id", (F.col("t") - F.col("own")).alias("t")).where("t > 0").join(counted, "id", "left")
+    share = left.agg(F.avg(F.least(F.coalesce("others", F.lit(0)), "t") / F.col("t"))).first()[0]
+    return 1.0 if share is None else float(share)
+
+
+def still_missed(missed: float, graphs: int) -> float:
+    """The share that `graphs` graphs miss together, if the last one has `missed` that the others, each as good, had not."""
+    return missed ** (graphs / (graphs - 1)) if graphs > 1 else missed
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, threshold: float = 0.9,
@@ -321,6 +329,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     packed = F.broadcast(packed) if n * (4 * d + 32) <= broadcast_bytes else packed
     links, counted, recall = None, None, 1.0
     labels_of = lambda e: components(ws, e).select(F.col("node").alias("id"), F.col("component_id").alias("c"))
+    low = float(threshold) - 1e-5
+
+    def count(label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sized = rows.join(label, "id").groupBy("c").agg(F.count("*").alias("size"))
+        cells = exact_in_components(ws, rows.select("id", "x", "m").join(label, "id"), sized, d, threshold, block)
+        others = cells.groupBy("id").agg(F.sum("n").alias("others"))
+        copies = rows.groupBy("id").agg(F.sum(F.col("m") - 1).alias("copies"))
+        return cells, ws.stage(copies.join(others, "id", "left").fillna(0, ["others"]).select("id", "others", (F.col("others") + F.col("copies")).alias("links")))
+
     for seed in range(ROUNDS if n > 1 else 0):
         _, sample = sample_rows(good, FIT, d, seed)
         tree = spark.sparkContext.broadcast(Tree(_unit(sample), max(8, LEAF * len(sample) // max(n, 1)), seed=seed))
@@ -339,7 +356,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         dealt = dealt.withColumn("part", F.explode(F.when(bridge, F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).otherwise(F.array("part"))))
         g = ws.stage(_keep(_pairs_of_groups(dealt, ["leaf", "part"], d, k, False), k))
         g = descend(ws, g, packed, d, k, rounds, few)
-        low = float(threshold) - 1e-5
         full = ws.stage(g.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("s")).where(f"n >= {k} and s >= {low}").select("u"))
         n_full = full.count()
         near = g.where(F.col("s") >= low)
@@ -359,16 +375,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             if more.limit(1).count():
                 links = ws.stage(links.union(more).distinct())
                 label = labels_of(links)
-        sized = rows.join(label, "id").groupBy("c").agg(F.count("*").alias("size"))
-        cells = exact_in_components(ws, rows.select("id", "x", "m").join(label, "id"), sized, d, threshold, block)
-        others = cells.groupBy("id").agg(F.sum("n").alias("others"))
-        copies = rows.groupBy("id").agg(F.sum(F.col("m") - 1).alias("copies"))
-        counted = ws.stage(copies.join(others, "id", "left").fillna(0, ["others"]).select("id", "others", (F.col("others") + F.col("copies")).alias("links")))
-        got, there = audit(rows, counted, d, threshold)
-        recall = got / there if there else 1.0
+        cells, counted = count(label)
         ws.drop(g, leaves)
-        if min(recall, 1 - missed ** (seed + 1)) >= target:
+        recall = min(audit(rows, counted, d, threshold), 1 - still_missed(missed, seed + 1))
+        if recall >= target:
             break
+    else:
+        if n > 1:
+            known = rows.select("id", "f").join(label, "id", "left").withColumn("c", F.coalesce("c", "id"))
+            label = labels_of(ws.stage(links.union(bridges(ws, known, n, d, low, broadcast_bytes)).distinct()))
+            (cells, counted), recall = count(label), 1.0
     ids = vectors.select(F.col(id_col).alias("id"))
     if counted is None:
         counted = rows.select("id", (F.col("m") - 1).alias("links"))

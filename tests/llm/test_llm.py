@@ -124,6 +124,19 @@ def test_near_dedup_links_dense_groups(spark):
     assert near_dedup_rows(spark, x)[0] == want
 
 
+def test_near_dedup_compares_all_below_target(spark, monkeypatch):
+    """One poor graph: pairs apart from a large group, which must not hide them, are found by comparing all rows."""
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    monkeypatch.setattr(near_dedup, "LEAF", 8)
+    rng = np.random.default_rng(6)
+    one = rng.normal(0, 1, (150, 16))
+    x = np.concatenate([one, one + rng.normal(0, 0.17, one.shape), rng.normal(0, 1, 16) + rng.normal(0, 0.05, (60, 16))])
+    want = linked(x)
+    got, rows = near_dedup_rows(spark, x, rounds=0, broadcast_bytes=8000)
+    assert got == want and {r["audit_recall"] for r in rows} == {1.0}
+    assert near_dedup.still_missed(0.45**2, 3) == pytest.approx(0.45**3) and near_dedup.still_missed(0.1, 2) == pytest.approx(0.01)
+
+
 def brute_ctw(train, test, depth=lm_scoring.DEPTH):
     nodes = {}
     form = lambda t: [lm_scoring.PAD] * depth + [c + 32 if 65 <= c <= 90 else c for c in t] + [lm_scoring.END]
