@@ -5,6 +5,9 @@ Every operator keeps the order columns of its input; none relies on row order. T
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,17 +79,41 @@ def glyph_spacing(glyphs: DataFrame, span: list[str], order: str = "pos") -> Dat
 
 
 def fix_buckets(fixes: DataFrame, keys: list[str]) -> DataFrame:
-    """Replacement characters of a row (ucs, y1) merged into buckets: all within 1.0 of a bucket's first x."""
-    entry = F.struct(F.col("x").cast("double").alias("x"), F.col("seq").cast("long").alias("s"), "ch")
-    empty = F.array().cast("array<struct<x:double,ch:string>>")
-
-    def add(acc: Column, e: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        merged = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["x"].alias("x"), F.concat(last["ch"], e["ch"]).alias("ch"))))
-        return F.when(F.coalesce(e["x"] - last["x"] <= BUCKET_WIDTH, F.lit(False)), merged).otherwise(F.concat(acc, F.array(F.struct(e["x"].alias("x"), e["ch"].alias("ch")))))
+    """Replacement characters of a row (ucs, y1) merged into buckets: all within 1.0 of a bucket's first x.
 
-    b = fixes.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(entry)), empty, add).alias("b"))
-    return b.select(*keys, F.posexplode("b").alias("bucket", "e")).select(*keys, "bucket", F.col("e.x").alias("x"), F.col("e.ch").alias("ch"))
+    A bucket's start depends on all before it, so each row is folded in one sorted stream; no row is held whole.
+    """
+    n = len(keys)
+    kinds = [fixes.schema[k].dataType.simpleString() for k in keys]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bucket, first, held, types = None, 0, None, [], None
+
+        def batch(done: list) -> pa.RecordBatch:
+            cols = list(zip(*done, strict=True)) or [()] * (n + 3)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*keys, "bucket", "x", "ch"])
+
+        def closed() -> tuple:
+            return (*now, bucket, first, None if None in held else "".join(held))
+
+        for b in batches:
+            types = [*[b.column(i).type for i in range(n)], pa.int32(), pa.float64(), pa.string()]
+            done = []
+            for *key, x, _, ch in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if key == now and x is not None and first is not None and x - first <= BUCKET_WIDTH:
+                    held.append(ch)
+                    continue
+                if now is not None:
+                    done.append(closed())
+                bucket = bucket + 1 if key == now else 0
+                now, first, held = key, x, [ch]
+            yield batch(done)
+        if now is not None:
+            yield batch([closed()])
+
+    entries = fixes.select(*keys, F.col("x").cast("double").alias("x"), F.col("seq").cast("long").alias("s"), "ch")
+    return entries.repartition(*keys).sortWithinPartitions(*keys, "x", "s", "ch").mapInArrow(
+        fold, ", ".join([*(f"`{k}` {t}" for k, t in zip(keys, kinds, strict=True)), "bucket int, x double, ch string"]))
 
 
 def nearest_fix(glyphs: DataFrame, buckets: DataFrame, keys: list[str], glyph_id: list[str]) -> DataFrame:

@@ -279,7 +279,7 @@ def glyph_fix_nearest(spark, sf_dir):
 
 @query()
 def glyph_bucket_merge(spark, sf_dir):
-    g = D.glyphs(spark, sf_dir).where("pos < 40").select("doc_id", "line", (F.col("ox") * 0.1).alias("x"), F.col("pos").alias("seq"), F.col("c").alias("ch"))
+    g = D.glyphs(spark, sf_dir).select("doc_id", "line", (F.col("ox") * 0.1).alias("x"), F.col("pos").alias("seq"), F.col("c").alias("ch"))
     return layout.fix_buckets(g, ["doc_id", "line"])
 
 

@@ -35,5 +35,23 @@ def test_query(spark, db, name):
         assert got == rows(names, c.fetchall())
 
 
+def test_glyph_bucket_merge_takes_whole_lines(spark):
+    lines = Q.D.doc_lines(spark, SF).select("doc_id", "line", "text").collect()
+    by_line = {}
+    for r in lines:
+        by_line.setdefault((r["doc_id"], r["line"]), []).extend(((p * 6 + p // 11 * 4) * 0.1, p, c) for p, c in enumerate(r["text"]))
+    want = []
+    for key, entries in by_line.items():
+        buckets = []
+        for x, _, c in sorted(entries):
+            if buckets and abs(buckets[-1][0] - x) <= 1.0:
+                buckets[-1][1] += c
+            else:
+                buckets.append([x, c])
+        want += [(*key, i, x, c) for i, (x, c) in enumerate(buckets)]
+    got = [tuple(r) for r in Q.QUERIES["glyph_bucket_merge"](spark, SF).select("doc_id", "line", "bucket", "x", "ch").collect()]
+    assert sorted(got) == sorted(want) and max(len(r["text"]) for r in lines) > 40
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
