@@ -360,6 +360,43 @@ def test_license_scan(spark):
     assert license_scan.license_scan(df.where("doc_id < 0"), F.col("path")).count() == 0
 
 
+APACHE = """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ * Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS"""
+
+
+@pytest.mark.parametrize("notice,licence", [
+    ("Copyright (c) 2020 Foo Inc. Released under the MIT License. See LICENSE for details.", "MIT"),
+    ("# Copyright 2020 The Foo Authors. SPDX-License-Identifier: MIT", "MIT"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+    (APACHE, "Apache-2.0"), (APACHE.replace("\n", " "), "Apache-2.0"),
+    ("it under the terms of the GNU General Public License as published by", "GPL"),
+    ("it under the terms of the GNU General Public\n# License as published by the Free Software Foundation; either version 2 of\n# the License, or (at your option) any later version.", "GPL-2.0"),
+    ("it under the terms of the GNU Lesser General Public License as published by\nthe Free Software Foundation, either version 3 of the License", "LGPL-3.0"),
+    ("All texts and pictures of this site are licensed under\nCC BY-NC 4.0. Write to the editors for other uses.", "CC-BY-NC-4.0"),
+])
+def test_license_notices_among_other_words(notice, licence):
+    s = license_scan.Scanner(license_scan.TEMPLATES, 0.6)
+    rng = random.Random(9)
+    for text_ in (notice, text(rng, 40) + " " + notice + " " + text(rng, 40), text(rng, 300) + "\n" + notice + "\n" + text(rng, 300)):
+        assert s.scan(text_)[0] == licence
+    two = s.scan(notice + " " + text(rng, 90) + " Licensed under the Mozilla Public License, version 2.0. " + text(rng, 90))
+    assert two[2] == sorted([licence, "MPL-2.0"])
+    for free in ("He studied at MIT and got a licence to drive.", "Version 2.0 of the work is free for any person, see the terms and conditions.", "sich erst mit mit der\nMit stein.", text(rng, 400)):
+        assert s.scan(free) == (None, 0.0, [])
+
+
+def test_every_license_template_is_found_in_a_long_line():
+    s = license_scan.Scanner(license_scan.TEMPLATES, 0.6)
+    rng = random.Random(10)
+    for name, forms in license_scan.TEMPLATES.items():
+        for form in forms:
+            got = s.scan(text(rng, 100) + " " + form.replace("\n", " ") + " " + text(rng, 100))
+            assert got[0] == name and got[1] > 0.999
+
+
 def test_anchors_lose_nothing():
     s = license_scan.Scanner(license_scan.TEMPLATES, 0.6)
     rng = random.Random(8)
