@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a folder of this machine."""
+    """The folder named in spark.checkpoint.dir; where that is unset a folder of this machine, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = getattr(shared_folder, "own", None)
         if not named:
             shared_folder.own = named = "file://" + tempfile.mkdtemp(prefix="kham-shared-")
@@ -36,21 +39,32 @@ def shared_folder(spark: SparkSession) -> str:
 class Workspace:
     """Staged tables of one query under the shared folder; a stage cuts the lineage and survives lost executors.
 
-    ``drop`` removes a stage that no plan needs any more; the rest goes when the driver ends.
+    ``drop`` removes a stage that no plan needs any more. What the query's result still reads is removed when the Python
+    object of the result is gone, or when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.n = spark, 0
+        self.spark, self.n, self.staged = spark, 0, []
         self.root = f"{shared_folder(spark)}/kham-{name}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root)
 
-    def stage(self, df: DataFrame) -> DataFrame:
+    def stage(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """`rows`: so many rows an Arrow batch, for rows that are large."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark remove shuffle files of plans that are done
+        # shuffle files of a stage aren't needed once it is written
+        own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
+        before = {k: self.spark.conf.get(k, None) for k in own}
+        try:
+            for k, v in own.items():
+                self.spark.conf.set(k, v)
+            df.write.parquet(path)
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
         out = self.spark.read.schema(_nullable(df.schema)).parquet(path)
         out._kham_path = path
+        self.staged.append(path)
         return out
 
     def drop(self, *stages: DataFrame) -> None:
@@ -58,6 +72,14 @@ class Workspace:
             if path := getattr(df, "_kham_path", None):
                 self._remove(path)
 
+    def keep_only(self, *stages: DataFrame) -> None:
+        """Removes all stages but these, which the result reads."""
+        kept = {df._kham_path for df in stages}
+        for path in self.staged:
+            if path not in kept:
+                self._remove(path)
+        self.staged = [p for p in self.staged if p in kept]
+
     def _remove(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm
@@ -67,6 +89,34 @@ class Workspace:
             pass
 
 
+#: Up to so many rows a table of ids and the like is broadcast (a few longs each), else joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def sized(staged: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table, marked for broadcast if it has few rows; else adaptive execution decides and splits skewed keys."""
+    return F.broadcast(staged) if staged.count() <= rows else staged
+
+
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list]]:
+    """(key, columns) of each run of rows with equal first columns (longs); columns are lists of Arrow arrays."""
+    held, now = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(i).to_numpy() for i in range(n_keys)], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+            k = tuple(key[a].tolist())
+            if now is not None and k != now:
+                yield now, [pa.concat_arrays(c) for c in zip(*held, strict=True)]
+                held = []
+            now = k
+            held.append([c.slice(a, e - a) for c in b.columns[n_keys:]])
+    if held:
+        yield now, [pa.concat_arrays(c) for c in zip(*held, strict=True)]
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 

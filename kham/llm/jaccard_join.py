@@ -9,18 +9,23 @@ A document's set holds the 64-bit hashes of its distinct n-word shingles. Docume
    empty ones, which aren't emitted: among those, a linked pair shares one that isn't empty. A class for which p > s
    also emits under further salts; two linked classes meet unless both do so, and then they meet under the next salt;
    after the last one they meet in a common list. A class near a level's upper end also emits for the next level.
-2. Inverted lists of signatures give each member the list's least class as its *head*; a block is all members of a head.
-3. *T-occurrence search* in each block, over inverted lists of shingles: a record needs T = t*n of its lists to hold a
-   partner. The L longest lists are set aside, the short ones are heap-merged, and records that occur T - L times are
-   probed in the long lists by binary search (DivideSkip); the overlap required by both sizes decides. Large
-   components have their own indexes and need one hit; records already known to be connected are skipped, so a block
-   of m copies gives m - 1 links.
-4. Large blocks are dealt into chunks, each with the head; what isn't connected to the head is then searched against all
-   chunks. So no block is gathered in one task, and no pair is lost.
+2. Most signatures occur once. So they travel packed, some seven bytes each: a task sorts its signatures, cuts them into
+   ranges and sends an array a range. A signature that many classes of a task share goes as one entry, and its members
+   wait as rows for its head; so no signature, however common, gathers in one task. Where a range holds a signature
+   twice, the least class is the *head* of the others; a block is all members of a head.
+3. *T-occurrence search* over inverted lists of shingles: a record needs T = t*n of its lists to hold a partner. The L
+   longest lists are set aside, the short ones are heap-merged, and records that occur T - L times are probed in the
+   long lists by binary search (DivideSkip); the overlap required by both sizes decides. Large components have their own
+   indexes and need one hit; records already known to be connected are skipped.
+4. First each class meets only the head with which it shares most signatures, so its set travels once. Blocks whose
+   members are then connected, and those of two members, are done. The others are searched whole; large ones are dealt into chunks: what isn't
+   connected to the head is searched against all chunks. So no block is gathered in one task, and no pair is lost.
 5. Components of the links, by joins.
 
-Null texts and texts without words have an empty set, link with nothing and are their own component. Repeated rows and
-ids are kept; a component's id is the least id in it. An empty table gives an empty result.
+Null texts and texts without words have an empty set, link with nothing and are their own component. Very long texts are
+taken whole. Repeated rows and ids are kept; a component's id is the least id in it, rows with null ids have one only if
+another row of their component has. Other columns, whatever their names, are left alone. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -32,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, crosswise, lower_az, mix, space_table, text_blocks, word_bounds, word_hashes
+from .common import BROADCAST_ROWS, Workspace, components, crosswise, lower_az, mix, runs, sized, space_table, text_blocks, word_bounds, word_hashes
 
 _LOWER, _SPACE = lower_az(), space_table()
 _U64, _I64 = np.uint64, np.int64
@@ -44,8 +49,10 @@ SALTS = 4
 CHUNK, CHUNK_SHINGLES = 2000, 400_000
 #: Records of a component from which it has an index of its own.
 LARGE = 16
-#: Up to so many rows a side of ids is broadcast (two longs each).
-BROADCAST_ROWS = 2_000_000
+#: A task's signatures and classes that are packed at once; members from which a signature's wait as rows.
+FLUSH, FLUSH_CLASSES, COMMON = 4_000_000, 32_000, 64
+#: Bytes of text whose signatures one range holds; low bits of a signature within its range.
+RANGE_BYTES, LOW = 16 << 20, 40
 #: The cost ratio of DivideSkip's rule for the number of long lists, as published.
 MU = 0.0085
 _MULT = [_U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -137,9 +144,12 @@ class Index:
         for x in shingles:
             self.lists[x].remove(record)
 
-    def search(self, shingles: list[int], sizes: list[int], t: int) -> Iterator[int]:
-        """Records whose Jaccard with the given set is at least t hundredths, by DivideSkip."""
-        n = len(shingles)
+    def search(self, shingles: list[int], sizes: list[int], t: int, size: int | None = None) -> Iterator[int]:
+        """Records whose Jaccard with the given set is at least t hundredths, by DivideSkip.
+
+        `size`: the set's size, if `shingles` leaves out those that no record can hold.
+        """
+        n = len(shingles) if size is None else size
         least = -(-t * n // 100)
         lists = [x for s in shingles if (x := self.lists.get(s))]
         if len(lists) < least:
@@ -175,8 +185,21 @@ def search_block(sets: list[np.ndarray], t: int, labels: list[int]) -> list[tupl
     """Links that connect what the block's records connect; records with equal labels are known to be connected.
 
     Each large component, and that of the first record, has an index of its own: it needs one hit and no search at all
-    by records connected to it. All other records share one index.
+    by records connected to it. All other records share one index. Shingles that a single record holds are in no list:
+    they can't add to an overlap.
     """
+    sizes = [len(x) for x in sets]
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    ranked = flat[order]
+    fresh = np.r_[True, ranked[1:] != ranked[:-1]]
+    name = np.empty(len(flat), np.int64)
+    name[order] = np.cumsum(fresh) - 1
+    common = np.bincount(name)[name] > 1
+    lists, at = [], 0
+    for n in sizes:
+        lists.append(name[at : at + n][common[at : at + n]].tolist())
+        at += n
     up = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -185,7 +208,7 @@ def search_block(sets: list[np.ndarray], t: int, labels: list[int]) -> list[tupl
             i = up[i]
         return i
 
-    links, sizes = [], [len(x) for x in sets]
+    links = []
     homes: list[tuple[int, Index]] = []
     rest, loose = Index(), {}  # the shared index, and its records by root
 
@@ -205,148 +228,276 @@ def search_block(sets: list[np.ndarray], t: int, labels: list[int]) -> list[tupl
         if home is None and (not i or len(moving) >= LARGE):
             homes.append((i, home := Index()))
         if home is None:
-            rest.add(i, sets[i].tolist())
+            rest.add(i, lists[i])
             loose.setdefault(r, []).append(i)
             return
         for j in loose.pop(r, ()):
-            rest.drop(j, sets[j].tolist())
-            home.add(j, sets[j].tolist())
-        home.add(i, sets[i].tolist())
+            rest.drop(j, lists[j])
+            home.add(j, lists[j])
+        home.add(i, lists[i])
 
     first: dict[int, int] = {}
-    for i, x in enumerate(sets):
+    for i, shingles in enumerate(lists):
         unite(i, first.setdefault(labels[i], i))
-        shingles = x.tolist()
         for f, home in homes:
             if root(f) != root(i):
-                need = required(sizes[i], sizes[f], t)
-                near = need <= min(sizes[i], sizes[f]) and len(np.intersect1d(x, sets[f], assume_unique=True)) >= need
-                hit = f if near else next(home.search(shingles, sizes, t), None)
+                hit = next(home.search(shingles, sizes, t, sizes[i]), None)
                 if hit is not None and unite(i, hit):
                     links.append((i, hit))
-        for j in rest.search(shingles, sizes, t):
+        for j in rest.search(shingles, sizes, t, sizes[i]):
             if unite(i, j):
                 links.append((i, j))
         settle(i)
     return links
 
 
-def _blocks(spread: DataFrame, t: int) -> DataFrame:
+def _blocks(ws: Workspace, spread: DataFrame, t: int) -> DataFrame:
     """(a, b): links found in each cell of (h, cell, cls, l, set); classes with equal l are connected already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets, labels, out = None, [], [], [], []
-
-        def done() -> None:
-            if len(ids) > 1:
-                out.extend((ids[i], ids[j]) for i, j in search_block(sets, t, labels))
-
-        for b in batches:
-            heads, cells, cls, label = (b.column(i).to_pylist() for i in range(4))
-            for i, key in enumerate(zip(heads, cells, strict=True)):
-                if key != now:
-                    done()
-                    now, ids, sets, labels = key, [], [], []
-                if ids and cls[i] == ids[-1]:  # a repeated row
-                    continue
-                ids.append(cls[i])
-                labels.append(label[i])
-                sets.append(np.frombuffer(b.column(4)[i].as_py(), _U64))
-            if out:
+        out: list[tuple[int, int]] = []
+        for _, (_, cls, label, data) in runs(batches, 2):
+            cls, label = cls.to_pylist(), label.to_pylist()
+            one = [i for i, c in enumerate(cls) if not i or c != cls[i - 1]]  # without repeated rows
+            if len({label[i] for i in one}) > 1:
+                sets = [np.frombuffer(data[i].as_buffer(), _U64) for i in one]
+                out.extend((cls[one[i]], cls[one[j]]) for i, j in search_block(sets, t, [label[i] for i in one]))
+            if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
                 out = []
-        done()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    n = crosswise(spread.sparkSession)
-    ordered = spread.select("h", "cell", "cls", "l", "set").repartition(n, "h", "cell").sortWithinPartitions("h", "cell", F.col("cls") != F.col("h"), "cls")
-    return ordered.mapInArrow(run, "a long, b long")
-
+    ordered = spread.withColumn("last", F.col("cls") != F.col("h")).repartition(crosswise(ws.spark), "h", "cell").sortWithinPartitions("h", "cell", "last", "cls")
+    return ws.stage(ordered.select("h", "cell", "last", "cls", "l", "set").mapInArrow(run, "a long, b long"), rows=1000)
+
+
+class Packets:
+    """A task's signatures, packed by range: the low bits of each, and which of the packet's classes has it."""
+
+    def __init__(self, bits: int):
+        self.bits, self.sigs, self.cls, self.n, self.size = bits, [], [], [], 0
+
+    def add(self, cls: int, n: int, sigs: np.ndarray) -> None:
+        self.sigs.append(sigs)
+        self.cls.append(cls)
+        self.n.append(n)
+        self.size += len(sigs)
+
+    def full(self) -> bool:
+        return self.size > FLUSH or len(self.cls) >= FLUSH_CLASSES
+
+    def flush(self) -> tuple[list[tuple[int, bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """[(range, packet)], (signatures, classes, sizes) of the rows that wait."""
+        if not self.size:
+            return [], tuple(np.zeros(0, _I64) for _ in range(3))
+        order = np.argsort(self.cls)
+        cls, n = np.array(self.cls, _I64)[order], np.array(self.n, _I64)[order]
+        who = np.repeat(np.arange(len(cls), dtype=np.uint16), [len(self.sigs[i]) for i in order])
+        key = np.concatenate([self.sigs[i] for i in order]).view(_U64) >> _U64(64 - LOW - self.bits)
+        self.sigs, self.cls, self.n, self.size = [], [], [], 0
+        o = np.argsort(key, kind="stable")  # classes ascend within a signature
+        key, who = key[o], who[o]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[start, len(key)])
+        many = np.repeat(count >= COMMON, count)
+        lead = np.zeros(len(key), bool)
+        lead[start] = True
+        wait = many & ~lead
+        rows = key[wait].view(_I64), cls[who[wait]], n[who[wait]]
+        who[many & lead] |= 0x8000
+        key, who = key[~wait], who[~wait]
+        part = (key >> _U64(LOW)).astype(_I64)
+        cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+        return [(int(part[a]), self._packet(key[a:e], who[a:e], cls, n)) for a, e in zip(cuts[:-1], cuts[1:], strict=True)], rows
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 4,
-                       threshold: int = 85, chunk: int = CHUNK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(id, n_shingles, component_id, n_copies) of every row; `threshold` in hundredths of the Jaccard similarity.
+    @staticmethod
+    def _packet(key: np.ndarray, who: np.ndarray, cls: np.ndarray, n: np.ndarray) -> bytes:
+        own, at = np.unique(who & 0x7FFF, return_inverse=True)
+        at = at.astype(np.uint16) | (who & 0x8000)
+        return b"".join((np.array([len(key), len(own)], np.uint32).tobytes(), (key & _U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((key >> _U64(32)) & _U64(0xFF)).astype(np.uint8).tobytes(),
+                         at.tobytes(), cls[own].tobytes(), n[own].astype(np.uint32).tobytes()))
 
-    n_copies is the number of rows with the same set.
-    """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "jaccard")
-    kind = docs.schema[id_col].dataType
+    @staticmethod
+    def read(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(low bits, class, size, whether rows wait) of each entry."""
+        m, k = np.frombuffer(data, np.uint32, 2).tolist()
+        at = 8 + 5 * m
+        low = np.frombuffer(data, np.uint32, m, 8).astype(_U64) | np.frombuffer(data, np.uint8, m, 8 + 4 * m).astype(_U64) << _U64(32)
+        who, own = np.frombuffer(data, np.uint16, m, at), np.frombuffer(data, _I64, k, at + 2 * m)
+        return low, own[who & 0x7FFF], np.frombuffer(data, np.uint32, k, at + 2 * m + 8 * k).astype(_I64)[who & 0x7FFF], who >= 0x8000
+
+
+_MET = "h long, cls long, n long, c long, sig long"
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Heads and members of the signatures of each range: (h, cls, n, shared signatures); (h, sig) where rows wait."""
+    for (part,), (packets,) in runs(batches, 1):
+        key, cls, n, wait = (np.concatenate(x) for x in zip(*(Packets.read(p.as_buffer()) for p in packets), strict=True))
+        o = np.lexsort((cls, key))
+        key, cls, n, wait = key[o], cls[o], n[o], wait[o]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[start, len(key)])
+        common = np.bitwise_or.reduceat(wait, start)
+        met = np.repeat((cls[start] != cls[start + count - 1]) | common, count)
+        again = np.r_[False, (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])]  # a class in several tasks
+        head, keep = np.repeat(cls[start], count), met & ~again
+        h, c, n = head[keep], cls[keep], n[keep]
+        o = np.lexsort((c, h))
+        h, c, n = h[o], c[o], n[o]
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])][: len(h)])
+        shared = np.diff(np.r_[first, len(h)])
+        sig = (key[start[common]] | _U64(part << LOW)).view(_I64)
+        k, w = len(first), len(sig)
+        if k + w:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[h[first], cls[start[common]]]), pa.concat_arrays([pa.array(c[first]), pa.nulls(w, pa.int64())]), pa.concat_arrays([pa.array(n[first]), pa.nulls(w, pa.int64())]),
+                 pa.concat_arrays([pa.array(shared), pa.nulls(w, pa.int64())]), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(sig)])], names=["h", "cls", "n", "c", "sig"])
+
+
+def _signed(ws: Workspace, docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(id, th, n, cls) of every row, and the blocks (h, cls, n, c) of classes that share signatures."""
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(text_bytes // RANGE_BYTES, 2 * crosswise(ws.spark)).bit_length()
+    kind = docs.schema["id"].dataType
+    names = ["id", "th", "n", "cls", "part", "data", "sig"]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        own, id_type = Packets(bits), None
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            packets, (sig, cls, n) = own.flush()
+            size = 0
+            for a in range(0, len(packets), 64):
+                some = packets[a : a + 64]
+                size = len(some)
+                yield pa.RecordBatch.from_arrays([pa.nulls(size, id_type), *[pa.nulls(size, pa.int64())] * 3, pa.array([p for p, _ in some], pa.int64()),
+                                                  pa.array([d for _, d in some], pa.binary()), pa.nulls(size, pa.int64())], names=names)
+            for a in range(0, len(sig), 100_000):
+                s = slice(a, a + 100_000)
+                size = len(sig[s])
+                yield pa.RecordBatch.from_arrays([pa.nulls(size, id_type), pa.nulls(size, pa.int64()), pa.array(n[s]), pa.array(cls[s]), pa.nulls(size, pa.int64()),
+                                                  pa.nulls(size, pa.binary()), pa.array(sig[s])], names=names)
+
         for b in batches:
-            n, cls, sigs = [], [], []
-            for _, _, raws in text_blocks(b.column(1).to_pylist(), 1 << 20):
+            id_type, n, cls = b.column(0).type, [], []
+            for _, _, raws in text_blocks(b.column(2).to_pylist(), 1 << 20):
                 for h in shingle_sets(raws, width):
                     n.append(len(h))
                     cls.append(class_of(h) if len(h) else None)
-                    sigs.append([] if cls[-1] in seen else signatures(h, threshold))
-                    if len(seen) < 200_000:  # only saves work: a class that emits again emits the same
-                        seen.add(cls[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "n", "cls", "sigs"])
-
-    told = ws.stage(docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(
-        first, f"id {kind.simpleString()}, n long, cls long, sigs array<long>"))
-    rows = ws.stage(told.select("id", "n", "cls"))
-    classes = ws.stage(rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")))
-
-    posts = told.select(F.explode("sigs").alias("sig"), "cls", "n")
-    lists = ws.stage(posts.groupBy("sig").agg(F.min("cls").alias("h"), F.max("cls").alias("m")).where("h < m").select("sig", "h"))
-    few = lists.count() <= broadcast_rows
-    pairs = ws.stage(posts.join(F.broadcast(lists) if few else lists, "sig").select("h", "cls", "n").distinct())
-    ws.drop(told, lists)
-    blocks = pairs.groupBy("h").agg(F.greatest(F.count("*") / F.lit(chunk), F.sum("n") / F.lit(CHUNK_SHINGLES)).alias("m"))
-
-    # whole texts again, only of the classes that are in a block: one row of each
-    wanted = classes.join(pairs.select("cls").distinct(), "cls").select(F.col("rep").alias("id"), "cls")
-    wanted = ws.stage(wanted)
-    n_wanted = wanted.count()
+                    if len(h) and cls[-1] not in seen:
+                        own.add(cls[-1], len(h), signatures(h, threshold))
+                        if len(seen) < 200_000:  # only saves work: a class that emits again emits the same
+                            seen.add(cls[-1])
+                    if own.full():
+                        yield from flushed()
+            k = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names=names)
+        yield from flushed()
+
+    told = ws.stage(docs.select("id", "th", "text").mapInArrow(first, f"id {kind.simpleString()}, th long, n long, cls long, part long, data binary, sig long"))
+    packets = told.where("part is not null").select("part", "data").repartition(crosswise(ws.spark), "part").sortWithinPartitions("part")
+    met = ws.stage(packets.mapInArrow(_meet, _MET))
+    waiting, heads = told.where("sig is not null").select("sig", "cls", "n"), met.where("sig is not null").select("sig", "h")
+    pairs = met.where("cls is not null").select("h", "cls", "n", "c")
+    n_heads = heads.count()
+    if n_heads:
+        pairs = pairs.union(waiting.join(F.broadcast(heads) if n_heads <= BROADCAST_ROWS else heads, "sig").select("h", "cls", "n", F.lit(1).cast("long")))
+    pairs = ws.stage(pairs.groupBy("h", "cls").agg(F.max("n").alias("n"), F.sum("c").alias("c")))
+    rows = ws.stage(told.where("part is null and sig is null").select("id", "th", "n", "cls"))
+    ws.drop(told, met)
+    return rows, pairs
+
+
+def _sets(ws: Workspace, docs: DataFrame, classes: DataFrame, cells: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
+    """(h, cell, cls, l, set) of cells (h, cell, cls, l): the shingles of one row of each class, made again from its text."""
+    place = F.collect_list(F.struct("h", "cell", "l")).alias("at")
+    wanted = ws.stage(classes.join(cells.groupBy("cls").agg(place), "cls").select(F.col("rep").alias("want"), "cls", "at"))
+    size = wanted.agg(F.sum(F.size("at") + 1)).first()[0] or 0
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            want, cls, sets = b.column(0).to_pylist(), [], []
+            want, which = b.column(0).to_pylist(), []
+            got = []
             for at, _, raws in text_blocks(b.column(1).to_pylist(), 1 << 20):
-                for k, h in enumerate(shingle_sets(raws, width)):
-                    if len(h) and want[at + k] == class_of(h):
-                        cls.append(want[at + k])
-                        sets.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "set"])
-
-    side = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    small = n_wanted <= broadcast_rows
-    sets = side.join(F.broadcast(wanted) if small else wanted, side["id"].eqNullSafe(wanted["id"])).select("cls", "text").mapInArrow(second, "cls long, set binary")
-    sized = pairs.join(blocks, "h")
-    sized = sized.withColumn("chunks", F.ceil("m").cast("int"))
-    spot = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
+                for k, h in enumerate(shingle_sets(raws, width), at):
+                    if len(h) and want[k] == class_of(h):
+                        which.append(k)
+                        got.append(h.tobytes())
+            at = b.column(2).take(pa.array(which, pa.int64()))
+            each = np.repeat(np.arange(len(which)), at.value_lengths().to_numpy(zero_copy_only=False)) if which else np.zeros(0, np.int64)
+            place, cls = at.flatten(), b.column(0).take(pa.array(which, pa.int64()))
+            for a in range(0, len(each), 256):  # a head of many cells is repeated
+                some = pa.array(each[a : a + 256])
+                yield pa.RecordBatch.from_arrays([place.field(0).slice(a, 256), place.field(1).slice(a, 256), cls.take(some), place.field(2).slice(a, 256), pa.array(got, pa.binary()).take(some)],
+                                                 names=["h", "cell", "cls", "l", "set"])
+
+    found = docs.select("id", "text").join(F.broadcast(wanted) if size <= broadcast_rows else wanted, F.col("id").eqNullSafe(F.col("want"))).select("cls", "text", "at")
+    return found.mapInArrow(second, "h long, cell long, cls long, l long, set binary")
+
+
+def _chunked(ws: Workspace, members: DataFrame, chunk: int, broadcast_rows: int) -> DataFrame:
+    """members (h, cls, n, ...) with the number of chunks of their block and their own one."""
+    big = members.groupBy("h").agg(F.ceil(F.greatest(F.count("*") / F.lit(chunk), F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks")).where("chunks > 1")
+    got = members.join(sized(ws.stage(big), broadcast_rows), "h", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    return got.withColumn("spot", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 4, threshold: int = 85, chunk: int = CHUNK,
+                       broadcast_rows: int = BROADCAST_ROWS, per_text: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, n_copies) of every row; `threshold` in hundredths of the Jaccard similarity.
+
+    n_copies is the number of rows with the same set. `per_text` adds text_hash (xxhash64 of the text), which tells rows
+    of one id apart, and label, a number of the component that rows without an id have too.
+    """
+    ws = Workspace(docs.sparkSession, "jaccard")
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    rows, pairs = _signed(ws, docs, width, threshold)
+    classes = ws.stage(rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")))
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    cells = sized.withColumn("cell", F.explode(F.when(F.col("cls") == F.col("h"), every).otherwise(F.array(spot)))).select("h", "cls", F.col("cell").cast("long").alias("cell"))
-    links = ws.stage(_blocks(sets.join(F.broadcast(cells) if sized.count() <= broadcast_rows and small else cells, "cls").withColumn("l", F.col("cls")), threshold))
 
+    # each class and the head with which it shares most
+    best = pairs.where("h <> cls").groupBy("cls").agg(F.max_by("h", F.struct("c", -F.col("h"))).alias("h"), F.max("n").alias("n"))
+    best = ws.stage(best.select("h", "cls", "n"))
+    heads = pairs.where("h = cls").join(best.select("h").distinct(), "h", "left_semi").select("h", "cls", "n")
+    near = _chunked(ws, best.union(heads), chunk, broadcast_rows)
+    cells = near.select("h", "cls", F.explode(F.when(F.col("cls") == F.col("h"), every).otherwise(F.array("spot"))).alias("cell"), F.col("cls").alias("l"))
+    cells = cells.withColumn("cell", F.col("cell").cast("long"))
+    links = _blocks(ws, _sets(ws, docs, classes, cells, width, broadcast_rows), threshold)
     labels = components(ws, links)
-    big = sized.where("chunks > 1")
-    if big.limit(1).count():
-        named = big.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("l", F.coalesce("component_id", "cls"))
-        heads = named.where("cls = h").select("h", F.col("l").alias("hl"))
-        named = named.join(heads, "h").withColumn("loose", F.col("l") != F.col("hl"))
-        loose = named.where("loose").groupBy("h").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("parts"))
-        named = named.join(loose, "h").withColumn("spot", spot)
+
+    # blocks that aren't connected yet, whole
+    named = pairs.join(best.select("cls", F.col("h").alias("bh")), "cls", "left").select("h", "cls", "n", F.col("bh").eqNullSafe(F.col("h")).alias("met"))
+    named = named.join(sized(labels.withColumnRenamed("node", "cls"), broadcast_rows), "cls", "left").withColumn("l", F.coalesce("component_id", "cls"))
+    open_ = named.groupBy("h").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.max(F.when(F.col("cls") == F.col("h"), F.col("l"))).alias("hl"),
+                                      F.count("*").alias("k"), F.bool_or("met").alias("met")).where("lo < hi and not (k = 2 and met)").select("h", "hl")
+    open_ = ws.stage(open_)
+    named = ws.stage(named.join(sized(open_, broadcast_rows), "h").select("h", "cls", "n", "l", (F.col("l") != F.col("hl")).alias("loose")))
+    if named.limit(1).count():
+        dealt = ws.stage(_chunked(ws, named, chunk, broadcast_rows))
+        whole = dealt.where("chunks = 1").select("h", "cls", F.lit(0).cast("long").alias("cell"), "l")
+        big = dealt.where("chunks > 1")
+        loose = ws.stage(big.where("loose").groupBy("h").agg(F.ceil(F.greatest(F.count("*") / F.lit(chunk), F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("parts")))
+        big = big.join(sized(loose, broadcast_rows), "h")
         part = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int")
         # a loose member meets all chunks, every other member the parts of the loose ones
-        again = named.withColumn("r", F.explode(F.when(F.col("loose"), F.array(part)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+        again = big.withColumn("r", F.explode(F.when(F.col("loose"), F.array(part)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
         again = again.withColumn("c", F.explode(F.when(F.col("loose"), every).otherwise(F.array("spot"))))
-        cross = again.select("h", "cls", "l", (F.col("r").cast("long") * F.col("chunks") + F.col("c")).alias("cell"))
-        own = named.where("loose").select("h", "cls", "l", part.alias("r"), "parts")  # and the loose ones meet each other
+        cross = again.select("h", "cls", (F.col("r").cast("long") * F.col("chunks") + F.col("c")).alias("cell"), "l")
+        own = big.where("loose").withColumn("r", part)  # and the loose ones meet each other
         own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-            "h", "cls", "l", (-1 - F.least("r", "o").cast("long") * F.col("parts") - F.greatest("r", "o")).alias("cell"))
-        more = ws.stage(_blocks(sets.join(cross.union(own).distinct(), "cls"), threshold))
-        links = links.union(more)
-        labels = components(ws, links)
+            "h", "cls", (-1 - F.least("r", "o").cast("long") * F.col("parts") - F.greatest("r", "o")).alias("cell"), "l")
+        more = _blocks(ws, _sets(ws, docs, classes, whole.union(cross).union(own), width, broadcast_rows), threshold)
+        if more.limit(1).count():
+            labels = components(ws, links.union(more))
 
     comp = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("l", F.coalesce("component_id", "cls")).drop("component_id")
     least = comp.groupBy("l").agg(F.min("rep").alias("component_id"))
-    comp = comp.join(least, "l").select("cls", "component_id", "n_copies")
-    return rows.join(comp, "cls", "left").select(
+    comp = ws.stage(comp.join(least, "l").select("cls", "component_id", "n_copies", "l"))
+    ws.keep_only(rows, comp)
+    out = rows.join(sized(comp, broadcast_rows), "cls", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.col("th").alias("text_hash"), F.col("l").alias("label"))
+    return out if per_text else out.drop("text_hash", "label")

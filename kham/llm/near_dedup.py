@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, crosswise
+from .common import Workspace, components, crosswise, runs
 from .vectors import Tree, matrix, sample_rows, valid_vectors
 
 FIT, LEAF, PROBES, ROUNDS = 16_384, 256, 256, 4
@@ -48,25 +48,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list]]:
-    """(key, columns) of each run of rows with equal first columns (longs); columns are lists of Arrow arrays."""
-    held, now = [], None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key = np.stack([b.column(i).to_numpy() for i in range(n_keys)], 1)
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
-        for a, e in zip(cuts[:-1], cuts[1:], strict=True):
-            k = tuple(key[a].tolist())
-            if now is not None and k != now:
-                yield now, [pa.concat_arrays(c) for c in zip(*held, strict=True)]
-                held = []
-            now = k
-            held.append([c.slice(a, e - a) for c in b.columns[n_keys:]])
-    if held:
-        yield now, [pa.concat_arrays(c) for c in zip(*held, strict=True)]
-
-
 def _vecs(column: pa.Array, kind, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, d)
 
@@ -101,7 +82,7 @@ def _pairs_of_groups(df: DataFrame, keys: list[str], d: int, k: int, floors: boo
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for _, cols in _runs(batches, n_keys):
+        for _, cols in runs(batches, n_keys):
             ids = cols[0].to_numpy()
             if len(ids) < 2:
                 continue
@@ -164,7 +145,7 @@ def exact_in_components(ws: Workspace, rows: DataFrame, sized: DataFrame, d: int
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for (_, i, j), (mine, ids, x, m) in _runs(batches, 3):
+        for (_, i, j), (mine, ids, x, m) in runs(batches, 3):
             mine, ids, m = mine.to_numpy(), ids.to_numpy(), m.to_numpy()
             v = _vecs(x, np.float64, d)
             s = v @ v.T >= threshold
