@@ -4,11 +4,12 @@ A document's set holds the 64-bit hashes of its distinct n-word shingles. Docume
 64-bit hash of the set); classes are compared once, whatever the number of copies.
 
 1. *Co-location without loss.* Sets of n and m shingles that link differ in at most D = (1-t)/(1+t) * (n+m) shingles.
-   At a level (a power of two around the larger size) shingles are dealt to s shards by hash; at least s - D shards are
-   equal on both sides. A class emits the signatures (sums of hashes) of its first p = D + E + 1 shards, E being its
-   empty ones, which aren't emitted: among those, a linked pair shares one that isn't empty. A class for which p > s
-   also emits under further salts; two linked classes meet unless both do so, and then they meet under the next salt;
-   after the last one they meet in a common list. A class near a level's upper end also emits for the next level.
+   At a level (a range of sizes around the larger one) shingles are dealt to s shards by hash; at most D shards differ. A
+   class emits the signatures (sums of hashes) of its D + 1 fullest shards, ties by signature: the first shard that both
+   share in that order is among those of either, if s - D shards are more than are empty. A class with too many empty
+   shards emits all full ones, and goes on under further salts; two linked classes meet unless both do so, and then they
+   meet under the next salt; after the last one they meet in a common list. A class emits for each level that its larger
+   partners may be in.
 2. Most signatures occur once. So they travel packed, some seven bytes each: a task sorts its signatures, cuts them into
    ranges and sends an array a range. A signature that many classes of a task share goes as one entry, and its members
    wait as rows for its head; so no signature, however common, gathers in one task. Where a range holds a signature
@@ -30,9 +31,10 @@ result.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,8 +97,19 @@ def required(n: int, m: int, t: int) -> int:
     return -(-t * (n + m) // (100 + t))
 
 
+#: Least sizes of the levels: each is about the square root of two of the one before.
+LEVELS = sorted({math.isqrt(1 << k) + (math.isqrt(1 << k) ** 2 < 1 << k) for k in range(96)})
+
+
+@functools.cache
 def shards_of(level: int, t: int) -> int:
-    return max(1, most_apart(2 << level, 0, t) + 2, (2 << level) // 5)
+    """Shards of a level: as few as leave the largest sets of it, but rarely, more full ones than linked sets differ in."""
+    n = LEVELS[level + 1] - 1
+    apart = most_apart(n, n, t)
+    s = apart + 2
+    while s < 4 * n + 4 and s * (1 - math.exp(-n / s)) < apart + 1 + 3 * math.sqrt(s * math.exp(-n / s)):
+        s += 1 + s // 32
+    return s
 
 
 def signatures(h: np.ndarray, t: int) -> np.ndarray:
@@ -104,10 +117,10 @@ def signatures(h: np.ndarray, t: int) -> np.ndarray:
     n = len(h)
     if not n:
         return np.zeros(0, _I64)
-    level, farthest = n.bit_length() - 1, 100 * n // t
+    farthest = 100 * n // t
     out = []
-    for at in {level, farthest.bit_length() - 1}:
-        partner = min(farthest, (2 << at) - 1)  # the largest size that meets this one at the level
+    for at in range(bisect_right(LEVELS, n) - 1, bisect_right(LEVELS, farthest)):
+        partner = min(farthest, LEVELS[at + 1] - 1)  # the largest size that meets this one at the level
         s, apart = shards_of(at, t), most_apart(n, partner, t)
         for salt in range(SALTS):
             x = mix(h + np.array([at + 1], _U64) * _MULT[salt])
@@ -116,10 +129,11 @@ def signatures(h: np.ndarray, t: int) -> np.ndarray:
             order = np.argsort(shard, kind="stable")
             full = np.flatnonzero(size)
             sums = np.add.reduceat(x[order], (np.cumsum(size) - size)[full])
-            p = apart + (s - len(full)) + 1
-            take = full < p
-            out.append(mix(sums[take] + _MULT[4] * (full[take].astype(_U64) + _U64((at * SALTS + salt) << 32))))
-            if p <= s:
+            sig = mix(sums + _MULT[4] * (full.astype(_U64) + _U64((at * SALTS + salt) << 32)))
+            if len(full) > apart + 1:
+                sig = sig[np.lexsort((sig, -size[full]))[: apart + 1]]
+            out.append(sig)
+            if len(full) > apart:
                 break
         else:
             out.append(mix(np.array([0xFA11 + at], _U64)))
