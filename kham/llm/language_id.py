@@ -9,14 +9,14 @@ apart in training. The language with the least loss is predicted; `score` is the
 
 Learned from labelled rows with a text and a language that the caller marks; per language about `sample` of them,
 chosen by a hash of the id, whole texts. A null text or one without a letter is `und` with score 0; so is every text
-if nothing could be learned. Ties go to the language first by name. Repeated rows are judged each.
+if nothing could be learned. Ties go to the language first by name. Repeated rows are judged each; very long texts are
+taken whole. Other columns, whatever their names, are left alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import id_crc, lower_az, text_blocks
 
 DIMS = 1 << 13
-LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
 #: About so many labelled texts of each language are learned from.
 SAMPLE = 2000
 
@@ -54,20 +54,30 @@ def trigrams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return idx, n
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (general category L); number forms and marks are none."""
+    return bool(_PLAIN_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """n codewords of +-1: all splits for few languages, else the best of random codes by least distance."""
+    """n different codewords of +-1: all splits of up to 5 languages, else the best of random codes by least distance
+    between any two."""
     if n < 2:
         return np.ones((n, 1), np.int8)
     if n <= 5:
         rows = [[1 if (s >> c) & 1 else -1 for c in range(n)] for s in range(1, 1 << (n - 1))]
         return np.array(rows, np.int8).T
-    rng, bits, best, least = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n))), None, -1
-    for _ in range(30):
-        m = rng.choice(np.array([-1, 1], np.int8), (n, bits))
-        m = m[:, np.abs(m.sum(0)) < n]
-        close = min(int((m[i] != m[j]).sum()) for i, j in combinations(range(min(n, 60)), 2))
-        if close > least:
-            best, least = m, close
+    rng, bits, best, least = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n))), None, 0
+    while best is None:  # distance 0 is no code
+        bits += 1
+        for _ in range(30 if n < 500 else 3):
+            m = rng.choice(np.array([-1, 1], np.int8), (n, bits))
+            m = m[:, np.abs(m.sum(0, dtype=np.int64)) < n]
+            alike = m.astype(np.float32) @ m.T.astype(np.float32)
+            np.fill_diagonal(alike, -bits)
+            close = int(m.shape[1] - alike.max()) // 2
+            if close > least:
+                best, least = m, close
     return best
 
 
@@ -146,7 +156,7 @@ def identify(docs: DataFrame, langs: list[str], model: dict | None, id_col: str
                         m[full, k] = np.add.reduceat(model["w"][:, k][idx], starts, dtype=np.float64)
                 best, top, ahead = decode(m / np.sqrt(np.maximum(n, 1))[:, None], model)
                 for i in range(len(raws)):
-                    if LETTER.search(texts[first + i] or ""):
+                    if has_letter(texts[first + i] or ""):
                         pred[first + i], score[first + i], unsure[first + i] = langs[best[i]], top[i], ahead[i] < lead
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], names=["__id", *names])
 

@@ -6,12 +6,14 @@ siblings in proportion to their weights. A child's capacity is that of its whole
 parent's siblings only when the parent's own children can't take it. A leaf with budget B and A tokens takes every
 document B div A times and, in the order of a hash seeded by the epoch, the prefix of B mod A tokens of the next epoch.
 
-The prefix of a leaf is found in two steps: token sums of 256 hash ranges give the range in which the prefix ends, and
-only the documents in that range are put in order. So a leaf with a third of all rows is never gathered in one task.
+The prefix of a leaf is found by token sums of hash ranges: the range in which the prefix ends is split by the next byte
+of the hash until it holds few rows, and only those are put in order. The tables of leaves, a row each, are broadcast if
+they are small. So a leaf with a third of all rows is never gathered in one task.
 
 Budgets are whole numbers, rounded down. Null domains, languages and sources count as `unknown`; a text's tokens are
 its words, none for null. Documents without tokens and children of weight 0 get nothing. Repeated rows count each.
-Ties in the order (repeated ids) go to the shorter document first. An empty table gives an empty result.
+Ties in the order (repeated ids) go to the shorter document first. Other columns, whatever their names, are left alone.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, sized
 
 LEVELS = ("domain", "lang", "source")
+#: Rows of a leaf that one task puts in order.
+FEW = 4096
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -67,7 +71,7 @@ def leaf_budgets(leaves: DataFrame, budget: F.Column, weights: dict[str, dict[st
 
 def mix_sources(docs: DataFrame, domain: F.Column, weights: dict[str, dict[str, int]], *, budget: F.Column | None = None,
                 max_epochs: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text",
-                lang_col: str = "lang", source_col: str = "source", name: str = "mix") -> DataFrame:
+                lang_col: str = "lang", source_col: str = "source", name: str = "mix", few: int = FEW) -> DataFrame:
     """(id, domain, lang, source, n_tokens, full_epochs, prefix_tokens, taken_tokens) of every document that is taken."""
     ws = Workspace(docs.sparkSession, name)
     d = ws.stage(docs.select(
@@ -79,13 +83,21 @@ def mix_sources(docs: DataFrame, domain: F.Column, weights: dict[str, dict[str,
     got = leaf_budgets(leaves, F.col("total") if budget is None else budget, weights, max_epochs)
     got = ws.stage(got.select(*LEVELS, F.expr("share div tokens").alias("full_epochs"), F.expr("share % tokens").alias("part")))
 
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("full_epochs"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    e = d.where("n_tokens > 0").join(got, list(LEVELS)).withColumn("h", order).withColumn("range", F.substring("h", 1, 2))
+    got = sized(got)
+    order = F.unhex(F.md5(F.concat_ws(":", F.lit(seed), F.col("full_epochs"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")))
+    e = d.where("n_tokens > 0").join(got, list(LEVELS)).withColumn("h", order)
     w = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = e.where("part > 0").groupBy(*LEVELS, "part", "range").agg(F.sum("n_tokens").alias("n"))
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    ends = ranges.where("before < part and part <= before + n").select(*LEVELS, F.col("range").alias("end"), "before")
-    e = e.join(ends, list(LEVELS), "left")
+    ends, depth, inside = None, 0, e.where("part > 0").withColumn("start", F.lit(0).cast("long"))
+    while True:  # a byte of the hash at a time, until the range in which a prefix ends holds few rows
+        depth += 1
+        ranges = inside.groupBy(*LEVELS, "part", "start", F.substring("h", 1, depth).alias("range")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"))
+        ranges = ranges.withColumn("before", F.col("start") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+        ends = ws.stage(ranges.where("before < part and part <= before + n").select(*LEVELS, F.col("range").alias("end"), "before", "rows"))
+        if depth == 16 or (ends.agg(F.max("rows")).first()[0] or 0) <= few:
+            break
+        at = sized(ends.select(*LEVELS, "end", F.col("before").alias("start")))
+        inside = e.join(at, list(LEVELS)).where(F.substring("h", 1, depth) == F.col("end")).drop("end")
+    e = e.withColumn("range", F.substring("h", 1, depth)).join(sized(ends), list(LEVELS), "left")
     whole = e.where("end is null or range <> end").withColumn(
         "prefix_tokens", F.when(F.col("range") < F.col("end"), F.col("n_tokens")).otherwise(F.lit(0)))
     run = Window.partitionBy(*LEVELS).orderBy("h", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
