@@ -7,7 +7,8 @@ exactly. Each task packs the stream of documents that it reads, in bounded buffe
 held; the tail that a task has at its end is cut at its binary digits, so windows are all full powers of two. Step
 groups hold windows of one tier and the same number of tokens each.
 
-Null and empty texts are one end id. Repeated rows are packed each. An empty table gives an empty result.
+Null and empty texts are one end id; very long texts are encoded whole. Repeated rows are packed each, ties in length by
+arrival. Null ids are kept. Other columns, whatever their names, are left alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,13 +19,18 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: White space for str.split that the tokeniser doesn't take as such.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Words remembered by a worker, some 200 bytes each; when full, the half that came last, the rarer words, is dropped.
-MEMO = 1_500_000
+MEMO = 600_000
+#: Characters of texts whose new words are encoded together.
+TOGETHER = 1 << 20
 #: Bits of a sequence id that count within one task.
 LOCAL_BITS = 36
 
@@ -42,18 +48,32 @@ class WordIds:
         self.tok.no_padding()
         self.memo: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        words = WORD.findall(text)
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            if len(self.memo) > MEMO:
-                for w in list(self.memo)[MEMO // 2 :]:
+    @staticmethod
+    def words(text: str) -> list[str]:
+        return WORD.findall(text) if SEPARATORS.search(text) else text.split()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and size < TOGETHER:
+                some.append(self.words(texts[at]))
+                size += len(texts[at])
+                at += 1
+            self._learn(set().union(*some))
+            for words in some:
+                yield b"".join(map(self.memo.__getitem__, words))
+
+    def _learn(self, needed: set[str]) -> None:
+        if len(self.memo) > MEMO:
+            for w in list(self.memo)[MEMO // 2 :]:
+                if w not in needed:
                     del self.memo[w]
-            new = list({w for w in words if w not in self.memo})
-            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-            return b"".join(map(self.memo.__getitem__, words))
+        words = [w for w in needed if w not in self.memo]
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.memo[w] = np.array(e.ids, "<u4").tobytes()
 
 
 _IDS: dict[str, WordIds] = {}
@@ -161,10 +181,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         ids = word_ids(tokenizer)
         p = Packer(length, tiers, step_tokens, buffer, TaskContext.get().partitionId() << LOCAL_BITS)
         for batch in batches:
-            for d, t in zip(batch.column(0), batch.column(1), strict=True):
-                p.add(d.as_py(), ids.encode(t.as_py() or "") + end)
-            if p.out:
-                yield rows(p)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for d, x in zip(part.column(0).to_pylist(), ids.encode(texts), strict=True):
+                    p.add(d, x + end)
+                if p.out:
+                    yield rows(p)
         p.end()
         yield rows(p)
 
