@@ -117,11 +117,28 @@ def fix_buckets(fixes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def nearest_fix(glyphs: DataFrame, buckets: DataFrame, keys: list[str], glyph_id: list[str]) -> DataFrame:
-    """glyphs with `fix`: the nearest bucket of the same key within 0.4 (strictly), of equal ones the first."""
-    d = F.abs(F.col("f.x") - F.col("g.ox"))
-    j = glyphs.alias("g").join(buckets.alias("f"), _all([F.col(f"g.{k}") == F.col(f"f.{k}") for k in keys], d < FIX_TOLERANCE))
-    best = j.groupBy(*[F.col(f"g.{k}").alias(k) for k in glyph_id]).agg(F.min_by("f.ch", F.struct(d.alias("d"), F.col("f.bucket").alias("b"))).alias("fix"))
-    return glyphs.join(best, glyph_id, "left")
+    """glyphs with `fix`: the nearest bucket of the same key within 0.4 (strictly), of equal ones the first.
+
+    One sorted pass: buckets and glyphs of a key stand in order of x, and the nearest bucket on either side of a glyph is
+    the last and the first one met; buckets of one x count as their first. So neither side is broadcast or joined.
+    Rows with a null key or place have no fix. `glyph_id` names what tells glyphs apart, which this needs no more.
+    """
+    once = buckets.groupBy(*keys, "x").agg(F.min_by(F.struct("bucket", "ch"), "bucket").alias("__b"))
+    rows = [*glyphs.columns]
+    at = glyphs.withColumns({"__x": F.col("ox").cast("double"), "__b": F.lit(None).cast(once.schema["__b"].dataType)})
+    there = once.select(*[F.col(c) if c in keys else F.lit(None).cast(glyphs.schema[c].dataType).alias(c) for c in rows], F.col("x").cast("double").alias("__x"), "__b")
+    w = Window.partitionBy(*keys).orderBy("__x", F.col("__b").isNull())
+    near = F.when(F.col("__b").isNotNull(), F.struct(F.col("__x").alias("x"), "__b"))
+    both = at.withColumn("__g", F.lit(True)).unionByName(there.withColumn("__g", F.lit(False))).withColumns({
+        "__lo": F.last(near, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__hi": F.first(near, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    lo, hi = F.col("__x") - F.col("__lo.x"), F.col("__hi.x") - F.col("__x")
+    ok_lo, ok_hi = F.coalesce(lo < FIX_TOLERANCE, F.lit(False)), F.coalesce(hi < FIX_TOLERANCE, F.lit(False))
+    low_first = ok_lo & (~ok_hi | (lo < hi) | ((lo == hi) & (F.col("__lo.__b.bucket") <= F.col("__hi.__b.bucket"))))
+    fix = F.when(low_first, F.col("__lo.__b.ch")).when(ok_hi, F.col("__hi.__b.ch"))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return both.where("__g").select(*rows, F.when(known, fix).alias("fix"))
 
 
 def _all(conds: list[Column], *more: Column) -> Column:
