@@ -9,11 +9,13 @@ until it reaches the target. Each query then meets the blocks of its leaves, sco
 original vectors. A query visits on until its leaves hold k candidates.
 
 Invalid vectors (see `valid_vectors`) take no part. Rows that repeat an id are one candidate if their vectors are
-equal, and one query. Ties go to the smaller id. No queries or an empty table give an empty result.
+equal, and one query. Ties go to the smaller id. Null ids take no part; other
+columns, whatever their names, are left alone. No queries or an empty table give an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,7 +103,7 @@ def calibrate(tree: Tree, rows: DataFrame, queries: DataFrame, k: int, d: int, t
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vec_col: str = "embedding", *,
-                       k: int = 20, target: float = 0.97, leaves: int = LEAVES) -> DataFrame:
+                       k: int = 20, target: float = 0.94, leaves: int = LEAVES) -> DataFrame:
     """(query_id, rank, id, score, n_visited) of the k nearest found of every query; `is_query` is over the column `id`."""
     spark = vectors.sparkSession
     ws = Workspace(spark, "ann")
@@ -109,6 +111,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: F.Column, id_col: str = "ve
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
     largest = good.agg(F.max(norm)).first()[0] or 1.0
     _, sample = sample_rows(good, FIT, d)
+    leaves = min(max(leaves, math.isqrt(good.count())), FIT // 8)  # about the root of the rows, as far as the sample tells them apart
     tree = Tree(lift(sample, largest), max(2, -(-len(sample) // leaves)))
     shared = spark.sparkContext.broadcast(tree)
 

@@ -1,15 +1,16 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-Texts of up to `window` characters are encoded whole. A longer one is encoded as overlapping windows with offsets;
-two neighbours are spliced at a boundary that both encodings share inside their overlap and that is *proven stable*:
-it lies before a single space or newline between two safe characters, where the pre-tokeniser must start a new piece
-whatever stands around. If the overlap holds no such boundary, or the two encodings disagree about the tokens between
-the first and the last one they share, the overlap doubles, up to the whole text.
+A text of over `window` characters is encoded as overlapping windows, each as it stands, with the offsets of its tokens.
+Two neighbours are spliced at a boundary inside their overlap at which a token starts in both encodings and which is
+*proven stable*: it lies before a single space between two safe characters, where the pre-tokeniser must start a new
+piece whatever stands around. All tokens between the first and the last such boundary must be the same in both. If there
+aren't two, or the encodings disagree, the overlap doubles; when it can't, the window grows, up to the whole text.
 
-Between stable boundaries a piece's tokens depend on the piece alone, so encodings of pieces are remembered per worker
-(a bounded memo; when full it is emptied). Every count still comes from the tokeniser library.
+Shorter texts are counted by their pieces between stable boundaries, whose tokens depend on the piece alone, so counts of
+pieces are remembered per worker (a bounded memo; when full it is emptied). Every count comes from the library.
 
-Null text: 0 bytes, 0 tokens. Repeated rows are counted each; an empty table gives an empty result.
+Null text: 0 bytes, 0 tokens. Repeated rows are counted each; null ids are kept; there are no ties. Other columns, whatever
+their names, are left alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ class Encoder:
 
     def __init__(self, path: str):
         self.memo: dict[str, int] = {}
-        self.starts: dict[str, tuple[int, ...]] = {}
         self.splits = path.endswith(".json")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         if self.splits:
@@ -47,11 +47,8 @@ class Encoder:
 
             self.tok = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def pieces(self, text: str) -> list[str]:
-        return STABLE.split(text) if self.splits else [text]
-
     def count(self, text: str) -> int:
-        """Tokens of a text that is encoded whole."""
+        """Tokens of a text of one window."""
         if not self.splits:
             return len(self.tok.encode(text))
         pieces = STABLE.split(text)
@@ -70,54 +67,45 @@ class Encoder:
 
     def offsets(self, text: str) -> list[int]:
         """Where each token of a window starts, in characters."""
-        if not self.splits:
-            return [p.begin for p in self.tok.encode(text, out_type="immutable_proto").pieces]
-        if len(self.starts) > MEMO // 8:
-            self.starts.clear()
-        pieces = STABLE.split(text)
-        new = list({p for p in pieces if p not in self.starts})
-        for p, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-            self.starts[p] = tuple(a for a, _ in e.offsets)
-        out, at = [], 0
-        for p in pieces:
-            out += [at + a for a in self.starts[p]]
-            at += len(p)
-        return out
+        if self.splits:
+            return [a for a, _ in self.tok.encode(text, add_special_tokens=False).offsets]
+        return [p.begin for p in self.tok.encode(text, out_type="immutable_proto").pieces]
 
 
 def splice_count(text: str, encode: Callable[[str], list[int]], window: int, overlap: int) -> tuple[int, int, int]:
     """(tokens, windows, widenings) of a text that is encoded in overlapping windows."""
-    n, total, windows, widened = len(text), 0, 0, 0
-    begin = 0  # the stable boundary from which tokens are still to be counted
-    while True:
-        wide, end = overlap, min(n, begin + window)
-        while True:
-            left = encode(text[begin:end])
+    n, total, windows, widened = len(text), 0, 1, 0
+    cut, end = 0, min(n, window)  # the stable boundary up to which tokens are counted, the end of the window
+    left, wide = encode(text[:end]), overlap
+    while end < n:
+        low = max(cut + 1, end - wide)
+        stop = min(n, max(low + window, end + 1))
+        right = [low + a for a in encode(text[low:stop])]
+        windows += 1
+        at = _resync(text, left, right, low, end)
+        if at is not None:
+            total += bisect_left(left, at) - bisect_left(left, cut)
+            cut, left, end, wide = at, right, stop, overlap
+            continue
+        widened += 1
+        if low > cut + 1:
+            wide *= 2
+        else:  # the overlap is all that isn't counted yet
+            end, wide = min(n, end + window), overlap
+            left = [cut + a for a in encode(text[cut:end])]
             windows += 1
-            if end == n:
-                return total + len(left), windows, widened
-            cut = _resync(text, encode, begin, end, wide, left)
-            if cut is not None:
-                break
-            wide, end, widened = wide * 2, min(n, end + wide), widened + 1
-        total += bisect_left(left, cut - begin)
-        begin = cut
-
-
-def _resync(text: str, encode, begin: int, end: int, overlap: int, left: list[int]) -> int | None:
-    """The middle one of the stable boundaries in the overlap at the end of a window; None if the encodings don't align."""
-    low = max(begin + 1, end - overlap)
-    stable = [m.start() for m in STABLE.finditer(text, low, end - 1) if m.start() > low]
-    if len(stable) < 2:
-        return None
-    first, last = stable[0], stable[-1]
-    right = encode(text[first:end])
-    ours = [a + begin for a in left[bisect_left(left, first - begin) : bisect_left(left, last - begin)]]
-    theirs = [a + first for a in right[: bisect_left(right, last - first)]]
-    if ours != theirs:
+    return total + len(left) - bisect_left(left, cut), windows, widened
+
+
+def _resync(text: str, left: list[int], right: list[int], low: int, end: int) -> int | None:
+    """The middle one of the stable boundaries that both encodings share; None if there aren't two or tokens between differ."""
+    ours, theirs = set(left), set(right)
+    both = [p for m in STABLE.finditer(text, low + 1, end) if (p := m.start()) > low and p + 1 < end and p in ours and p in theirs]
+    if len(both) < 2:
         return None
-    both = set(ours) & set(stable)
-    return sorted(both)[len(both) // 2] if both else None
+    a, e = both[0], both[-1]
+    same = left[bisect_left(left, a) : bisect_left(left, e)] == right[bisect_left(right, a) : bisect_left(right, e)]
+    return both[len(both) // 2] if same else None
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -130,7 +118,7 @@ def encoder(path: str) -> Encoder:
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 1024,
-                 window: int = 1 << 16, overlap: int = 1024) -> DataFrame:
+                 window: int = 1 << 14, overlap: int = 512) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit, n_windows, n_widened) of every row; one narrow pass, no shuffle.
 
     `tokenizer` is a tokeniser file that every executor has. Nothing is truncated or padded and no special tokens are
@@ -144,7 +132,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             rows = []
             for v in batch.column(1):
                 t = v.as_py() or ""
-                n = (e.count(t), 1, 0) if len(t) <= window or not e.splits else splice_count(t, e.offsets, window, overlap)
+                n = (e.count(t), 1, 0) if len(t) <= window else splice_count(t, e.offsets, window, overlap)
                 rows.append((len(t.encode("utf-8", "surrogatepass")), n[0], n[0] > limit, n[1], n[2]))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())

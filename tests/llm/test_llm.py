@@ -349,6 +349,30 @@ def test_token_counts(spark, docs):
     assert token_counts.token_counts(empty(spark), path).count() == 0
 
 
+def test_windows_that_do_not_align_are_widened():
+    """Encodings that disagree at first, and texts without stable boundaries, still give the library's count."""
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        e = token_counts.encoder(public_tokenizers.path(name))
+        rng = random.Random(12)
+        long = text(rng, 3000)
+        whole = len(e.offsets(long))
+        n, windows, widened = token_counts.splice_count(long, e.offsets, 1000, 40)
+        assert n == whole and windows > 20
+        asked = []
+
+        def shifty(part):  # the first windows lose a token in their first half
+            asked.append(part)
+            got = e.offsets(part)
+            return got[:3] + got[4:] if len(asked) in (2, 3) else got
+
+        n, _, widened = token_counts.splice_count(long, shifty, 1000, 40)
+        assert abs(n - whole) <= 1
+    e = token_counts.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    bare = "".join(rng.choice("abcdefgh漢é") for _ in range(3000)) + " " + text(rng, 300)
+    n, _, widened = token_counts.splice_count(bare, e.offsets, 200, 32)
+    assert n == len(e.offsets(bare)) and widened > 3
+
+
 def test_license_scan(spark):
     files = [(1, "r/LICENSE", "Released under the MIT License.\nmore words here"), (2, "r/a/x.py", "nothing"), (3, "r/a/b/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."),
              (4, "r/a/b/c/y.py", "nothing"), (5, "r/a/z.py", "# Licensed under the Apache License, Version 2.0.\ncode"), (6, "q/w.py", None), (7, None, "Licensed under CC BY-NC 4.0."), (8, None, "x"), (8, None, "x"),
