@@ -89,6 +89,11 @@ class Workspace:
             pass
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts go to Python in smaller Arrow batches from now on: a batch is held several times over on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 #: Up to so many rows a table of ids and the like is broadcast (a few longs each), else joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 

@@ -397,7 +397,7 @@ def _signed(ws: Workspace, docs: DataFrame, width: int, threshold: int) -> tuple
 
         for b in batches:
             id_type, n, cls = b.column(0).type, [], []
-            for _, _, raws in text_blocks(b.column(2).to_pylist(), 1 << 20):
+            for _, _, raws in text_blocks(b.column(2).to_pylist(), 1 << 19):
                 for h in shingle_sets(raws, width):
                     n.append(len(h))
                     cls.append(class_of(h) if len(h) else None)
@@ -411,7 +411,7 @@ def _signed(ws: Workspace, docs: DataFrame, width: int, threshold: int) -> tuple
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names=names)
         yield from flushed()
 
-    told = ws.stage(docs.select("id", "th", "text").mapInArrow(first, f"id {kind.simpleString()}, th long, n long, cls long, part long, data binary, sig long"))
+    told = ws.stage(docs.select("id", "th", "text").mapInArrow(first, f"id {kind.simpleString()}, th long, n long, cls long, part long, data binary, sig long"), rows=2000)
     packets = told.where("part is not null").select("part", "data").repartition(crosswise(ws.spark), "part").sortWithinPartitions("part")
     met = ws.stage(packets.mapInArrow(_meet, _MET))
     waiting, heads = told.where("sig is not null").select("sig", "cls", "n"), met.where("sig is not null").select("sig", "h")
@@ -435,7 +435,7 @@ def _sets(ws: Workspace, docs: DataFrame, classes: DataFrame, cells: DataFrame,
         for b in batches:
             want, which = b.column(0).to_pylist(), []
             got = []
-            for at, _, raws in text_blocks(b.column(1).to_pylist(), 1 << 20):
+            for at, _, raws in text_blocks(b.column(1).to_pylist(), 1 << 19):
                 for k, h in enumerate(shingle_sets(raws, width), at):
                     if len(h) and want[k] == class_of(h):
                         which.append(k)

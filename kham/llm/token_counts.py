@@ -69,7 +69,7 @@ class Encoder:
         """Where each token of a window starts, in characters."""
         if self.splits:
             return [a for a, _ in self.tok.encode(text, add_special_tokens=False).offsets]
-        return [p.begin for p in self.tok.encode(text, out_type="immutable_proto").pieces]
+        return [p.begin for p in self.tok.encode(text, return_type="proto").pieces]
 
 
 def splice_count(text: str, encode: Callable[[str], list[int]], window: int, overlap: int) -> tuple[int, int, int]:
