@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kham.llm import jaccard_join, language_id, mixing, packing
-from kham.llm.common import Workspace, id_crc, sized
+from kham.llm.common import Workspace, id_crc, sized, small_batches
 
 #: A document is rejected if it has no letter or if the best two languages are this close.
 LEAD = 0.02
@@ -25,6 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The others keep the columns of documents; each row is judged by its own whole text. Empty tables stay empty.
     """
+    small_batches(spark)
     train = F.pmod(id_crc("doc_id"), F.lit(3)) != 1
     langs, model = language_id.learn(docs, train)
     rest = tuple(c for c in COLUMNS if c not in ("doc_id", "text"))
@@ -38,6 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by id and text, so of a repeated id only the texts go that have a copy. Rows that repeat both are
     one. Documents without words are in no group and all stay. Empty tables stay empty.
     """
+    small_batches(spark)
     ws = Workspace(spark, "neardup")
     groups = jaccard_join.jaccard_components(docs, width=5, threshold=80, per_text=True).where("n_shingles > 0")
     rows = ws.stage(groups.groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("again")))
@@ -72,6 +74,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a training sequence; null texts are empty, repeated rows are packed each."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
