@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Workspace, components, crosswise, lower_az, mix, runs, sized, space_table, text_blocks, word_bounds, word_hashes
+from .common import BROADCAST_ROWS, Workspace, components, crosswise, lower_az, mix, runs, sized, space_table, text_blocks, tidied, word_bounds, word_hashes
 
 _LOWER, _SPACE = lower_az(), space_table()
 _U64, _I64 = np.uint64, np.int64
@@ -283,7 +283,7 @@ def _blocks(ws: Workspace, spread: DataFrame, t: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
     ordered = spread.withColumn("last", F.col("cls") != F.col("h")).repartition(crosswise(ws.spark), "h", "cell").sortWithinPartitions("h", "cell", "last", "cls")
-    return ws.stage(ordered.select("h", "cell", "last", "cls", "l", "set").mapInArrow(run, "a long, b long"), rows=1000)
+    return ws.stage(ordered.select("h", "cell", "last", "cls", "l", "set").mapInArrow(tidied(run), "a long, b long"), rows=1000)
 
 
 class Packets:
@@ -411,9 +411,9 @@ def _signed(ws: Workspace, docs: DataFrame, width: int, threshold: int) -> tuple
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names=names)
         yield from flushed()
 
-    told = ws.stage(docs.select("id", "th", "text").mapInArrow(first, f"id {kind.simpleString()}, th long, n long, cls long, part long, data binary, sig long"), rows=2000)
+    told = ws.stage(docs.select("id", "th", "text").mapInArrow(tidied(first), f"id {kind.simpleString()}, th long, n long, cls long, part long, data binary, sig long"), rows=2000)
     packets = told.where("part is not null").select("part", "data").repartition(crosswise(ws.spark), "part").sortWithinPartitions("part")
-    met = ws.stage(packets.mapInArrow(_meet, _MET))
+    met = ws.stage(packets.mapInArrow(tidied(_meet), _MET))
     waiting, heads = told.where("sig is not null").select("sig", "cls", "n"), met.where("sig is not null").select("sig", "h")
     pairs = met.where("cls is not null").select("h", "cls", "n", "c")
     n_heads = heads.count()
@@ -449,7 +449,7 @@ def _sets(ws: Workspace, docs: DataFrame, classes: DataFrame, cells: DataFrame,
                                                  names=["h", "cell", "cls", "l", "set"])
 
     found = docs.select("id", "text").join(F.broadcast(wanted) if size <= broadcast_rows else wanted, F.col("id").eqNullSafe(F.col("want"))).select("cls", "text", "at")
-    return found.mapInArrow(second, "h long, cell long, cls long, l long, set binary")
+    return found.mapInArrow(tidied(second), "h long, cell long, cls long, l long, set binary")
 
 
 def _chunked(ws: Workspace, members: DataFrame, chunk: int, broadcast_rows: int) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, lower_az, text_blocks
+from .common import id_crc, lower_az, text_blocks, tidied
 
 DIMS = 1 << 13
 _PLAIN_LETTER = re.compile("[A-Za-z]")
@@ -127,7 +127,7 @@ def learn(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: st
         i, j = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(sums[i, j], pa.int64())], names=["l", "j", "n"])
 
-    got = chosen.select("text", "lang").mapInArrow(run, "l int, j int, n long").groupBy("l", "j").agg(F.sum("n").alias("n")).toArrow()
+    got = chosen.select("text", "lang").mapInArrow(tidied(run), "l int, j int, n long").groupBy("l", "j").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(langs), DIMS))
     counts[got["l"].to_numpy(), got["j"].to_numpy()] = got["n"].to_numpy()
     return langs, fit(counts)
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, langs: list[str], model: dict | None, id_col: str
                         pred[first + i], score[first + i], unsure[first + i] = langs[best[i]], top[i], ahead[i] < lead
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], names=["__id", *names])
 
-    return frame.mapInArrow(run, ", ".join([*types, "lang_pred string, score double, ambiguous boolean"])).select(
+    return frame.mapInArrow(tidied(run), ", ".join([*types, "lang_pred string, score double, ambiguous boolean"])).select(
         F.col("__id").alias(id_col), *names)
 
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import tidied
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space for str.split that the tokeniser doesn't take as such.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -202,5 +204,5 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     id_type = to_arrow_type(kind)
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
-        run, f"id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
+        tidied(run), f"id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
              "offset long, tier int, step_group long").withColumnRenamed("id", id_col)
