@@ -211,21 +211,26 @@ def audit(text: Column) -> Column:
     runs = audit_runs(text)
     good = F.filter(runs, lambda r: r.rlike(f"^[{C.VALID_BASES}]"))
     bad = F.filter(runs, lambda r: ~r.rlike(f"^[{C.VALID_BASES}]"))
-    total = lambda a, f: F.aggregate(a, F.lit(0), lambda s, r: s + f(r))
+    marks = F.aggregate(bad, F.lit(0), lambda s, r: s + F.length(F.regexp_replace(r, f"[^{C.COMBINING}]", "")))
+    late = F.aggregate(F.transform(good, _late), F.struct(F.lit(0).alias("reorder"), F.lit(0).alias("multi_tone")), lambda s, r: F.struct(
+        (s["reorder"] + r["reorder"]).alias("reorder"), (s["multi_tone"] + r["multi_tone"]).alias("multi_tone")))
+    return F.struct(
+        marks.alias("orphan_mark"), late["reorder"].alias("reorder"), late["multi_tone"].alias("multi_tone"),
+        text.contains(C.NIKHAHIT + C.SARA_AA).cast("int").alias("nikhahit_aa"), text.contains(C.SARA_E * 2).cast("int").alias("double_sara_e"))
 
-    def late(r: Column, wrong) -> Column:
-        ms = F.filter(chars(r), lambda c: c.rlike(f"[{C.COMBINING}]"))
-        return F.size(F.filter(ms, lambda _, k: wrong(F.slice(ms, F.lit(1), k + 1))))
 
-    def unsorted(ms: Column) -> Column:
-        n = F.transform(ms, _rank)
-        return n != F.array_sort(n)
+def _late(run: Column) -> Column:
+    """Of one run, in one pass: marks from the first one that is out of order, marks from the second tone on."""
 
-    tones = lambda ms: F.size(F.filter(ms, lambda m: m.rlike(f"[{C.TONES}]"))) > 1
-    return F.struct(
-        total(bad, lambda r: F.length(F.regexp_replace(r, f"[^{C.COMBINING}]", ""))).alias("orphan_mark"),
-        total(good, lambda r: late(r, unsorted)).alias("reorder"), total(good, lambda r: late(r, tones)).alias("multi_tone"),
-        text.contains(C.NIKHAHIT + C.SARA_AA).cast("int").alias("nikhahit_aa"), text.contains(C.SARA_E * 2).cast("int").alias("double_sara_e"))
+    def step(s: Column, m: Column) -> Column:
+        rank = _rank(m)
+        down = F.greatest(s["down"], (rank < s["top"]).cast("int"))
+        tones = s["tones"] + m.rlike(f"[{C.TONES}]").cast("int")
+        return F.struct(F.greatest(s["top"], rank).alias("top"), down.alias("down"), tones.alias("tones"),
+                        (s["reorder"] + down).alias("reorder"), (s["multi_tone"] + (tones > 1).cast("int")).alias("multi_tone"))
+
+    ms = F.filter(chars(run), lambda c: c.rlike(f"[{C.COMBINING}]"))
+    return F.aggregate(ms, F.struct(*[F.lit(0).alias(n) for n in ("top", "down", "tones", "reorder", "multi_tone")]), step)
 
 
 def visual_order_ratio(text: Column) -> Column:

@@ -63,6 +63,12 @@ def roll_up(issues: DataFrame, order: list[str], group: list[str] | None = None)
                       F.transform("s", lambda x: F.struct(x["context"].alias("context"), x["before"].alias("before"), x["after"].alias("after"))).alias("samples"), "first")
 
 
+def issue_counts(issues: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """(group, kind, count, severity): the roll-up without samples; issues are read once."""
+    n = issues.groupBy(*(group or []), "kind").agg(F.count("*").alias("count"), F.max(severity_rank(F.col("severity"))).alias("sev"))
+    return n.select(*(group or []), "kind", "count", F.get(F.array(*map(F.lit, C.SEVERITIES)), F.col("sev").cast("int") - 1).alias("severity"))
+
+
 def quality_report(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
     """Per document: characters, Thai share (4 places), pages without text, whether its pages are in visual order."""
     p = pages.withColumns({"n": F.length(text), "visual": F.regexp_count(text, F.lit(f"[{C.LEAD_VOWELS}](?![{C.CONSONANTS}])")),

@@ -100,7 +100,7 @@ def normalize_text(spark, sf_dir):
 SELECT kind, sum(n)::BIGINT AS count, CASE max(sev) WHEN 1 THEN 'fixed' ELSE 'warn' END AS severity FROM ik GROUP BY kind HAVING sum(n) > 0""")
 def issue_rollup(spark, sf_dir):
     issues = quality.issues_of(D.thai_docs(spark, sf_dir), "text", ["doc_id"])
-    return quality.roll_up(issues, ["doc_id", "stage", "at"]).select("kind", "count", "severity")
+    return quality.issue_counts(issues)
 
 
 @query()
@@ -135,11 +135,12 @@ def visual_order(spark, sf_dir):
     return D.thai_docs(spark, sf_dir).select("doc_id", F.round(r, 9).alias("ratio"), (r > 0.5).alias("suspect"))
 
 
-_SWAPS = f"list_filter(range(1, length(text)), lambda i: regexp_matches(text[i : i + 1], '^[{C.CONSONANTS}][{C.LEAD_VOWELS}]$') AND NOT regexp_matches(text[i + 2], '[{C.CONSONANTS}]'))"
-
-
-@query(f"""{_WITH_THAI}, s AS (SELECT doc_id, text, {_SWAPS} AS ps FROM td), m AS (SELECT doc_id, text, ps, map_from_entries(list_transform(ps, lambda i: {{'k': i, 'v': true}})) AS mp FROM s)
-SELECT doc_id, len(ps)::INT AS swaps, md5(array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN map_contains(mp, i) THEN text[i + 1] WHEN map_contains(mp, i - 1) THEN text[i - 1] ELSE text[i] END), '')) AS md5 FROM m""")
+@query(f"""{_WITH_THAI}, c0 AS (SELECT doc_id, unnest(cs) AS c, unnest(range(1, len(cs) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS cs FROM td)),
+c1 AS (SELECT *, lag(c) OVER w AS before, lead(c) OVER w AS after, coalesce(regexp_matches(c, '[{C.CONSONANTS}]') AND regexp_matches(lead(c) OVER w, '[{C.LEAD_VOWELS}]')
+   AND NOT coalesce(regexp_matches(lead(c, 2) OVER w, '[{C.CONSONANTS}]'), false), false) AS swaps FROM c0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c2 AS (SELECT *, coalesce(lag(swaps) OVER (PARTITION BY doc_id ORDER BY i), false) AS swapped FROM c1),
+c3 AS (SELECT doc_id, count(*) FILTER (swaps) AS swaps, string_agg(CASE WHEN swaps THEN after WHEN swapped THEN before ELSE c END, '' ORDER BY i) AS t FROM c2 GROUP BY doc_id)
+SELECT td.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(swaps, 0) END::INT AS swaps, md5(coalesce(c3.t, text)) AS md5 FROM td LEFT JOIN c3 USING (doc_id)""")
 def visual_order_fix(spark, sf_dir):
     t = F.col("text")
     return D.thai_docs(spark, sf_dir).select("doc_id", T.visual_order_swaps(t).alias("swaps"), F.md5(T.fix_visual_order(t).cast("binary")).alias("md5"))
@@ -283,7 +284,13 @@ def glyph_bucket_merge(spark, sf_dir):
     return layout.fix_buckets(g, ["doc_id", "line"])
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT (p_size % 5)::VARCHAR AS font, p_partkey AS gid, 'g' || (p_partkey % 400) AS name FROM part),
+cm AS (SELECT font, name, arg_min(ch, gid) AS ch FROM (SELECT *, chr((65 + gid % 26)::INT) AS ch FROM p WHERE gid % 4 = 0 UNION ALL SELECT *, chr(57345) FROM p WHERE gid % 16 = 1) GROUP BY font, name),
+va AS (SELECT font, name, arg_min('g' || ((gid + 1) % 400), gid) AS base FROM p WHERE gid % 4 <> 0 GROUP BY font, name),
+r AS (SELECT p.font, gid, p.name, ch, 0 AS d, ch IS NULL OR unicode(ch) BETWEEN {C.PRIVATE_USE[0]} AND {C.PRIVATE_USE[1]} AS goes FROM p LEFT JOIN cm USING (font, name)
+   UNION ALL SELECT r.font, r.gid, va.base, cm.ch, d + 1, cm.ch IS NULL OR unicode(cm.ch) BETWEEN {C.PRIVATE_USE[0]} AND {C.PRIVATE_USE[1]}
+   FROM r LEFT JOIN va ON va.font = r.font AND va.name = r.name LEFT JOIN cm ON cm.font = r.font AND cm.name = va.base WHERE goes AND d < 4)
+SELECT font, gid, ch FROM r WHERE ch IS NOT NULL AND (NOT goes OR d = 4)""")
 def glyph_map_resolve(spark, sf_dir):
     p = D.table(spark, sf_dir, "part").select((F.col("p_size") % 5).cast("string").alias("font"), F.col("p_partkey").alias("gid"), F.concat(F.lit("g"), F.col("p_partkey") % 400).alias("name"), F.col("p_partkey").alias("ord"))
     cmap = p.where("gid % 4 = 0").select("font", "name", F.chr(F.lit(0) + 65 + F.col("gid") % 26).alias("ch"), "ord")
@@ -468,7 +475,9 @@ def document_text(spark, sf_dir):
     return d.select("doc_id", F.md5(F.col("t").cast("binary")).alias("md5"), "n_pages")
 
 
-@query()
+@query(f"""WITH a AS ({_RUNS}), n AS (SELECT doc_id, length({D.THAI_SQL}) AS n FROM documents),
+r AS (SELECT doc_id, sum(n) AS total_chars, count(*) AS n_pages, sum(orphan_mark + reorder + multi_tone + nikhahit_aa + double_sara_e) AS remaining FROM a JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, '{{"total_chars":' || total_chars || ',"n_pages":' || n_pages || ',"remaining":' || remaining || ',"clean":' || (remaining = 0)::VARCHAR || '}}' AS json FROM r""")
 def analysis_json(spark, sf_dir):
     r = quality.quality_report(D.thai_docs(spark, sf_dir).withColumn("page", F.lit(1)))
     return r.select("doc_id", F.to_json(F.struct("total_chars", "n_pages", "remaining", "clean")).alias("json"))
@@ -496,7 +505,8 @@ def human_sizes(spark, sf_dir):
     return D.table(spark, sf_dir, "orders").select("o_orderkey", T.human_size(F.col("o_orderkey") * F.col("o_orderkey") * 7).alias("size"))
 
 
-@query()
+@query("""WITH n AS (SELECT p_partkey, 'ภาพ' || (p_partkey % 1000) || '.jpg' AS name FROM part)
+SELECT p_partkey, name, array_to_string(list_transform(regexp_extract_all(name, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '') AS key FROM n""")
 def natural_sort(spark, sf_dir):
     p = D.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("ภาพ"), F.col("p_partkey") % 1000, F.lit(".jpg")).alias("name"))
     return p.withColumn("key", T.natural_key(F.col("name"))).orderBy("key", "p_partkey").select("p_partkey", "name", "key")
