@@ -10,6 +10,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,14 +42,17 @@ def nfc(s: pd.Series) -> pd.Series:
 MISREAD = (("latin-1", "utf-8"), ("cp1252", "utf-8"), ("cp1252", "cp874"))
 
 
+_THAI = re.compile(f"[{C.THAI}]")
+
+
 def _ratio(t: str) -> float:
-    body = [c for c in t if not c.isspace()]
-    return sum("฀" <= c <= "๿" for c in body) / len(body) if body else 0.0
+    body = sum(map(len, t.split()))
+    return len(_THAI.findall(t)) / body if body else 0.0
 
 
 def repaired(t: str) -> str:
     """The first strict re-decoding that is over 30 % Thai, of a text that is at most 5 % Thai; else the text."""
-    if _ratio(t) <= 0.05 and not t.isascii():
+    if not t.isascii() and _ratio(t) <= 0.05:
         for wrong, right in MISREAD:
             try:
                 got = t.encode(wrong).decode(right)
@@ -174,20 +178,27 @@ def normalised(text: str, strip: bool = True) -> tuple[str, list[tuple]]:
 _CARRIER = re.compile(f"[{C.VALID_BASES}]")
 
 
-@F.pandas_udf(NORMALISED)
-def normalise(s: pd.Series, strip: pd.Series) -> pd.DataFrame:
+_ISSUE_ARROW = [pa.field(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int32()) for f in ISSUE_TYPE.fields]
+
+
+@F.arrow_udf(NORMALISED)
+def normalise(s: pa.Array, strip: pa.Array) -> pa.Array:
     """struct<text, issues> of a text: encoding repaired, NFC, canonical; null stays null, empty stays empty."""
-    rows = []
-    for raw, cut in zip(s, strip):
-        if not raw:
-            rows.append((raw, []))
-            continue
-        fixed = repaired(raw)
-        text, log = normalised(unicodedata.normalize("NFC", fixed), cut)
-        if fixed != raw:
-            log.insert(0, (0, 0, "mojibake", "fixed", 0, raw[:40], raw[:40], fixed[:40]))
-        rows.append((text, [dict(zip(ISSUE_TYPE.names, x)) for x in log]))
-    return pd.DataFrame(rows, columns=["text", "issues"])
+    texts, ends, found = [], [0], []
+    for raw, cut in zip(s.to_pylist(), strip.to_pylist()):
+        if raw:
+            fixed = repaired(raw)
+            text, log = normalised(unicodedata.normalize("NFC", fixed), cut)
+            if fixed != raw:
+                found.append((0, 0, "mojibake", "fixed", 0, raw[:40], raw[:40], fixed[:40]))
+            found += log
+            raw = text
+        texts.append(raw)
+        ends.append(len(found))
+    cols = list(zip(*found)) or [()] * len(_ISSUE_ARROW)
+    rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ISSUE_ARROW)], fields=_ISSUE_ARROW)
+    issues = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), issues], names=["text", "issues"])
 
 
 def audit_runs(text: Column) -> Column:

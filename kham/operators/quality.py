@@ -144,10 +144,10 @@ def mark_only(text: Column) -> Column:
 
 def ocr_suspects(words: DataFrame, scale: float = 72 / 300, low: float = LOW_CONFIDENCE) -> DataFrame:
     """Words below a confidence that aren't marks alone, with their boxes in points."""
-    pt = lambda c: F.round(c * scale, 1)
+    pt = lambda c: F.bround(c * scale, 1)
     x, y = F.col("left"), F.col("top")
     return ocr_words(words).where((F.col("conf") < low) & ~mark_only(F.col("text"))).withColumns(
-        {"confidence": F.round("conf", 1), "x0": pt(x), "y0": pt(y), "x1": pt(x + F.col("width")), "y1": pt(y + F.col("height"))})
+        {"confidence": F.bround("conf", 1), "x0": pt(x), "y0": pt(y), "x1": pt(x + F.col("width")), "y1": pt(y + F.col("height"))})
 
 
 def upsert_pages(pages: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
