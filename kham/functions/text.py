@@ -6,6 +6,7 @@ scan by higher-order functions repeats its steps for every character.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -100,6 +101,7 @@ _BASE_AM_TONE = re.compile(f"(?s)[{C.VALID_BASES}][{C.COMBINING}]*{C.SARA_AM}[{C
 _LEAD, _CONSONANT = re.compile(f"[{C.LEAD_VOWELS}]"), re.compile(f"[{C.CONSONANTS}]")
 
 
+@functools.lru_cache(1 << 14)
 def ordered_marks(marks: str) -> tuple[str, dict[str, list[str]]]:
     """Marks in canonical order, and what went, by kind: repeats, tones and vowels after the first."""
     once = list(dict.fromkeys(marks))
@@ -164,7 +166,7 @@ def normalised(text: str, strip: bool = True) -> tuple[str, list[tuple]]:
     out = []
     for k, (base, marks, am, rest, i) in enumerate(parts):
         if marks:
-            best, gone = ordered_marks(marks)
+            best, gone = ordered_marks(marks) if len(marks) <= 8 else ordered_marks.__wrapped__(marks)
             for kind, ms in gone.items():
                 for x in ms:
                     say(5, k, kind, "fixed" if kind == "duplicate_mark" else "warn", i, around(t, i), x, "")

@@ -36,7 +36,8 @@ MM_TO_PT = 72.0 / 25.4
 def issues_of(docs: DataFrame, text: str, keys: list[str], *, strip: bool = True) -> DataFrame:
     """(keys, stage, at, kind, severity, idx, context, before, after): one row per issue of each text."""
     d = docs.select(*keys, T.normalise(F.col(text), F.lit(strip)).alias("n"))
-    return d.select(*keys, F.explode("n.issues").alias("i")).select(*keys, "i.*")
+    # an inner explode would infer a filter on the issues, below which the texts are normalised once more
+    return d.select(*keys, F.explode_outer("n.issues").alias("i")).where("i is not null").select(*keys, "i.*")
 
 
 def normalised(docs: DataFrame, text: str, keys: list[str], *, strip: bool = True) -> DataFrame:
