@@ -246,6 +246,54 @@ def _late(run: Column) -> Column:
     return F.aggregate(ms, F.struct(*[F.lit(0).alias(n) for n in ("top", "down", "tones", "reorder", "multi_tone")]), step)
 
 
+AUDIT_TYPE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("severity", T.StringType()), T.StructField("idx", T.IntegerType()),
+                           T.StructField("context", T.StringType()), T.StructField("before", T.StringType())])
+_AUDIT_ARROW = [pa.field(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int32()) for f in AUDIT_TYPE.fields]
+_MARKED = re.compile(f"(?s)([^{C.COMBINING}]?)([{C.COMBINING}]+)")
+_CARRIES, _TONE = re.compile(f"[{C.VALID_BASES}]"), re.compile(f"[{C.TONES}]")
+_RANKS = tuple((re.compile(f"[{k}]"), n) for k, n in C.MARK_ORDER)
+
+
+def audited(text: str) -> list[tuple[str, str, int, str, str]]:
+    """(kind, severity, index, context, marks so far) of every structural error of a text, as `audit` counts them."""
+    found = []
+
+    def say(kind: str, i: int, before: str) -> None:
+        found.append((kind, "error", i, text[max(0, i - 12) : i + 12], before))
+
+    for run in _MARKED.finditer(text):
+        marks, at = run[2], run.start(2)
+        carried = _CARRIES.fullmatch(run[1])
+        top = tones = 0
+        late = False
+        for k, m in enumerate(marks):
+            if not carried:
+                say("orphan_mark", at + k, m)
+                continue
+            rank = next(n for p, n in _RANKS if p.match(m))
+            late, top, tones = late or rank < top, max(top, rank), tones + bool(_TONE.match(m))
+            if late:
+                say("reorder", at + k, marks[: k + 1])
+            if tones > 1:
+                say("multi_tone", at + k, marks[: k + 1])
+    for kind, pair in (("nikhahit_aa", C.NIKHAHIT + C.SARA_AA), ("double_sara_e", C.SARA_E * 2)):
+        if (i := text.find(pair)) >= 0:
+            say(kind, i, "")
+    return found
+
+
+@F.arrow_udf(T.ArrayType(AUDIT_TYPE))
+def audit_rows(s: pa.Array) -> pa.Array:
+    """Structural errors of a text as rows; a null text has none."""
+    found, ends = [], [0]
+    for t in s.to_pylist():
+        found += audited(t) if t else []
+        ends.append(len(found))
+    cols = list(zip(*found)) or [()] * len(_AUDIT_ARROW)
+    rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _AUDIT_ARROW)], fields=_AUDIT_ARROW)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
 def visual_order_ratio(text: Column) -> Column:
     """Share of lead vowels that no consonant follows; 0 if there are fewer than five."""
     n = F.regexp_count(text, F.lit(f"[{C.LEAD_VOWELS}]"))

@@ -41,8 +41,9 @@ def broken_fonts(glyphs: DataFrame, covered: DataFrame | None = None) -> DataFra
     return got if covered is None else got.join(covered.select("font").distinct(), "font", "left_anti")
 
 
-def glyph_spacing(glyphs: DataFrame, span: list[str], order: str = "pos") -> DataFrame:
-    """Text of each span, spaces decided by geometry; needs c, x0, x1, size and, if present, fix, broken.
+def glyph_spacing(glyphs: DataFrame, span: list[str], order: str = "pos", also: tuple[Column, ...] = ()) -> DataFrame:
+    """Text of each span, spaces decided by geometry; needs c, x0, x1, size and, if present, fix, broken; `also` are
+    further aggregates of its glyphs.
 
     A fix of several characters goes in as it is and leaves the position alone. Narrow white space vanishes (a NIKHAHIT
     in a broken font), wide white space is one space. A gap of over 0.2 of the size before a character that is no mark
@@ -75,7 +76,7 @@ def glyph_spacing(glyphs: DataFrame, span: list[str], order: str = "pos") -> Dat
     g = g.withColumn("open", open_)
     out = F.when(F.col("wide"), F.when(F.col("open"), F.lit(" ")).otherwise(F.lit(""))).otherwise(
         F.concat(F.when(F.col("gap") & F.col("open"), F.lit(" ")).otherwise(F.lit("")), F.col("shown")))
-    return g.withColumn("out", out).groupBy(*span).agg(ordered_text(F.col(order), F.col("out")).alias("text"))
+    return g.withColumn("out", out).groupBy(*span).agg(ordered_text(F.col(order), F.col("out")).alias("text"), *also)
 
 
 def fix_buckets(fixes: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
 from ..functions import text as T
 from ..operators import layout, quality
 from . import derive as D
+from .registry import QUERIES, SQL, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-SPACE_SQL = C.SPACE
 _WITH_THAI = f"WITH {D.THAI_DOCS}"
 _CLUSTERS = f"regexp_extract_all(replace(nfc_normalize(text), 'เเ', 'แ'), '{C.CLUSTER}')"
 
@@ -64,8 +48,11 @@ def cluster_histogram(spark, sf_dir):
 
 
 _RANKED = "".join(f"WHEN regexp_matches(m, '[{k}]') THEN {n} " for k, n in C.MARK_ORDER)
-#: Clusters of each text as lists: base, marks, whether SARA AM closes it, where it starts.
-_PARTS = f"""{_WITH_THAI}, r0 AS (SELECT doc_id, replace(nfc_normalize(text), 'เเ', 'แ') AS t, {_CLUSTERS} AS cs FROM td WHERE text <> ''),
+
+
+def parts_ctes(texts: str) -> str:
+    """Clusters of each text of a table (doc_id, text): base, marks, whether SARA AM closes it, where it starts."""
+    return f"""r0 AS (SELECT doc_id, replace(nfc_normalize(text), 'เเ', 'แ') AS t, {_CLUSTERS} AS cs FROM {texts} WHERE text <> ''),
 r1 AS (SELECT doc_id, unnest(cs) AS c, unnest(range(1, len(cs) + 1)) AS k FROM r0),
 r2 AS (SELECT doc_id, k, c, c[1] AS b, c[2:] AS tail, regexp_matches(c, '^[{C.COMBINING}]$') AS orphan FROM r1),
 r3 AS (SELECT *, tail LIKE '%า' AS aa, tail LIKE '%ำ%' AS am, regexp_replace(tail, '[ำา]', '', 'g') AS m0 FROM r2),
@@ -81,6 +68,9 @@ mf AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k, kind ORDER BY i) AS
 ms AS (SELECT doc_id, k, string_agg(m, '' ORDER BY rank, i) AS best FROM mf WHERE nth = 1 GROUP BY doc_id, k)"""
 
 
+_PARTS = f"{_WITH_THAI}, {parts_ctes('td')}"
+
+
 @query(f"""{_PARTS}, tx AS (SELECT r7.doc_id, string_agg(r7.b || coalesce(ms.best, '') || CASE WHEN aa OR am THEN 'ำ' ELSE '' END, '' ORDER BY r7.k) AS t
    FROM r7 LEFT JOIN ms USING (doc_id, k) GROUP BY r7.doc_id)
 SELECT td.doc_id, md5(coalesce(tx.t, td.text)) AS md5, length(coalesce(tx.t, td.text))::INT AS n FROM td LEFT JOIN tx USING (doc_id)""")
@@ -109,13 +99,18 @@ def issue_samples(spark, sf_dir):
     return quality.roll_up(issues, ["doc_id", "stage", "at", "idx", "before", "after", "context"]).select("kind", "label", "count", "severity", F.to_json("samples").alias("samples")).orderBy(F.desc("count"), "kind")
 
 
-_RUNS = f"""{_WITH_THAI}, a0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)[^{C.COMBINING}]?[{C.COMBINING}]+')) AS r FROM td),
+def runs_ctes(texts: str) -> str:
+    """Structural errors by kind of each text of a table (doc_id, text) that has marks."""
+    return f"""a0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)[^{C.COMBINING}]?[{C.COMBINING}]+')) AS r FROM {texts}),
 a1 AS (SELECT doc_id, row_number() OVER () AS id, regexp_matches(r, '^[{C.VALID_BASES}]') AS good, regexp_replace(r, '[^{C.COMBINING}]', '', 'g') AS ms FROM a0),
 a2 AS (SELECT doc_id, id, good, i, ms[i] AS m FROM a1, unnest(range(1, length(ms) + 1)) AS u(i)),
 a3 AS (SELECT *, CASE {_RANKED} END AS rank, regexp_matches(m, '[{C.TONES}]') AS tone FROM a2),
 a4 AS (SELECT *, max(rank) OVER w > rank AS down, sum(tone::INT) OVER w AS tones FROM a3 WINDOW w AS (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 a5 AS (SELECT *, max(down::INT) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bad FROM a4),
-a6 AS (SELECT doc_id, count(*) FILTER (NOT good) AS orphan_mark, count(*) FILTER (good AND bad > 0) AS reorder, count(*) FILTER (good AND tones > 1) AS multi_tone FROM a5 GROUP BY doc_id)
+a6 AS (SELECT doc_id, count(*) FILTER (NOT good) AS orphan_mark, count(*) FILTER (good AND bad > 0) AS reorder, count(*) FILTER (good AND tones > 1) AS multi_tone FROM a5 GROUP BY doc_id)"""
+
+
+_RUNS = f"""{_WITH_THAI}, {runs_ctes('td')}
 SELECT td.doc_id, coalesce(orphan_mark, 0)::INT AS orphan_mark, coalesce(reorder, 0)::INT AS reorder, coalesce(multi_tone, 0)::INT AS multi_tone,
    (text LIKE '%ํา%')::INT AS nikhahit_aa, (text LIKE '%เเ%')::INT AS double_sara_e FROM td LEFT JOIN a6 USING (doc_id)"""
 
@@ -160,9 +155,6 @@ def mojibake_repair(spark, sf_dir):
     return both.select("doc_id", (F.col("fixed") == F.col("text")).alias("right"), (F.col("fixed") != F.col("bad")).alias("changed"), F.md5(F.col("fixed").cast("binary")).alias("md5"))
 
 
-_NUM = C.SPACE
-
-
 @query(f"""WITH {D.CELLS}, n0 AS (SELECT *, regexp_replace(value, '^[{C.SPACE}]+|[{C.SPACE}]+$', '', 'g') AS s FROM ce),
 n1 AS (SELECT *, regexp_replace(regexp_replace(s, '^[()-]+|[()-]+$', '', 'g'), '^[{C.SPACE}]+|[{C.SPACE}]+$', '', 'g') AS body FROM n0 WHERE regexp_matches(s, '{T.NUMBER}')),
 n2 AS (SELECT *, try_cast(replace(body, ',', '') AS DOUBLE) AS v, length(regexp_extract(body, '\\.([0-9]+)$', 1)) AS d FROM n1)
@@ -242,8 +234,7 @@ _SPEC = "concat(o_custkey % 9, ',', o_orderkey % 6, '-', o_orderkey % 11, ',x,-3
 @query(f"""WITH s AS (SELECT o_orderkey, {_SPEC} AS spec, (o_custkey % 12 + 1)::INT AS total FROM orders),
 p AS (SELECT o_orderkey, total, unnest(string_split(replace(spec, ' ', ''), ',')) AS c FROM s),
 q AS (SELECT o_orderkey, total, try_cast(regexp_extract(c, '^([0-9]+)(?:-[0-9]+)?$', 1) AS INT) AS a, try_cast(regexp_extract(c, '^(?:[0-9]+-)?([0-9]+)$', 1) AS INT) AS b FROM p)
-SELECT DISTINCT o_orderkey, unnest(range(a, least(b, total) + 1))::INT AS page FROM q WHERE a IS NOT NULL AND b IS NOT NULL AND a <= least(b, total) QUALIFY true""".replace(" QUALIFY true", "").replace("SELECT DISTINCT o_orderkey, unnest(range(a, least(b, total) + 1))::INT AS page FROM q WHERE a IS NOT NULL AND b IS NOT NULL AND a <= least(b, total)",
- "SELECT DISTINCT o_orderkey, page FROM (SELECT o_orderkey, unnest(range(a, least(b, total) + 1))::INT AS page FROM q WHERE a <= least(b, total)) WHERE page >= 1"))
+SELECT DISTINCT o_orderkey, page FROM (SELECT o_orderkey, unnest(range(a, least(b, total) + 1))::INT AS page FROM q WHERE a <= least(b, total)) WHERE page >= 1""")
 def page_range_expand(spark, sf_dir):
     o = D.table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_SPEC).alias("spec"), (F.col("o_custkey") % 12 + 1).cast("int").alias("total"))
     return o.select("o_orderkey", F.explode(T.parse_pages(F.col("spec"), F.col("total"))).alias("page"))
@@ -304,18 +295,28 @@ m AS (SELECT 'F' || f AS font, gid, CASE WHEN gid % 3 = 0 THEN 'ก' WHEN gid %
 SELECT doc_id, ch, count(*) AS n FROM t JOIN m ON split_part(t.font, '+', 2) = m.font AND t.gid = m.gid
 WHERE unicode(ch) <> ucs AND (regexp_matches(ch, '[{C.THAI}]') OR ucs IN (32, 0, 65533, 160)) GROUP BY doc_id, ch""")
 def glyph_corrections(spark, sf_dir):
+    return corrections(spark, sf_dir).groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
+
+
+def corrections(spark, sf_dir) -> DataFrame:
+    """Glyphs whose font maps them to another character than the text layer does."""
     t = D.glyphs(spark, sf_dir).select("doc_id", "line", "pos", F.concat(F.lit("ABCDEF+"), F.col("font")).alias("font"), F.ascii("c").alias("ucs"), (F.col("pos") % 50).cast("long").alias("gid"))
     r = F.col("gid") % 3
     m = spark.range(7).select(F.concat(F.lit("F"), F.col("id")).alias("font")).crossJoin(spark.range(40).withColumnRenamed("id", "gid"))  # 280 fixed rows
     m = m.withColumn("ch", F.when(r == 0, F.lit("ก")).when(r == 1, F.lit("x")).otherwise(F.lit("ำ")))
-    return layout.glyph_corrections(t, m).groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
+    return layout.glyph_corrections(t, m)
 
 
-@query(f"""WITH {D.GLYPHS}, s0 AS (SELECT *, regexp_matches(c, '^[{C.SPACE}]$') AS sp, regexp_matches(c, '^[{C.COMBINING}]$') AS mk FROM gl),
+def spacing_ctes(glyphs: str) -> str:
+    """Glyphs of a table with what each gives to its line (o), as s3."""
+    return f"""s0 AS (SELECT *, regexp_matches(c, '^[{C.SPACE}]$') AS sp, regexp_matches(c, '^[{C.COMBINING}]$') AS mk FROM {glyphs}),
 s1 AS (SELECT *, last_value(CASE WHEN NOT mk THEN x1 END IGNORE NULLS) OVER (PARTITION BY doc_id, line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS px FROM s0),
 s2 AS (SELECT *, last_value(sp) OVER (PARTITION BY doc_id, line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS psp FROM s1),
 s3 AS (SELECT *, CASE WHEN sp THEN CASE WHEN coalesce(NOT psp, false) THEN ' ' ELSE '' END
-   ELSE CASE WHEN NOT mk AND coalesce(x0 - px > size * 0.2, false) AND coalesce(NOT psp, false) THEN ' ' ELSE '' END || c END AS o FROM s2)
+   ELSE CASE WHEN NOT mk AND coalesce(x0 - px > size * 0.2, false) AND coalesce(NOT psp, false) THEN ' ' ELSE '' END || c END AS o FROM s2)"""
+
+
+@query(f"""WITH {D.GLYPHS}, {spacing_ctes('gl')}
 SELECT doc_id, line::INT AS line, md5(string_agg(o, '' ORDER BY pos)) AS md5 FROM s3 GROUP BY doc_id, line""")
 def glyph_spacing(spark, sf_dir):
     g = layout.glyph_spacing(D.glyphs(spark, sf_dir), ["doc_id", "line"])
@@ -351,10 +352,18 @@ def run_merge(spark, sf_dir):
     return layout.merge_runs(_spans(spark, sf_dir), ["doc_id", "line"], ["bold", "font"]).select("doc_id", "line", F.col("island").cast("long").alias("island"), "bold", "font", "text")
 
 
-@query(f"""WITH {D.DOC_LINES}, l0 AS (SELECT *, regexp_extract(text, '^[{C.COMBINING}]*') AS ld, regexp_replace(text, '[{C.SPACE}]+$', '') AS tr FROM dl),
-l1 AS (SELECT *, ld <> '' AND coalesce(regexp_matches(lag(tr) OVER w, '[{C.VALID_BASES}]$'), false) AS gives FROM l0 WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
-l2 AS (SELECT *, CASE WHEN lead(gives) OVER w THEN tr || lead(ld) OVER w ELSE text END AS body FROM l1 WINDOW w AS (PARTITION BY doc_id ORDER BY line))
-SELECT doc_id, line::INT AS line, CASE WHEN gives THEN substr(body, length(ld) + 1) ELSE body END AS text FROM l2""")
+def heal_ctes(lines: str, page: str) -> str:
+    """Lines of a table that have taken the marks at the start of the next one, as l2."""
+    return f"""l0 AS (SELECT *, regexp_extract(text, '^[{C.COMBINING}]*') AS ld, regexp_replace(text, '[{C.SPACE}]+$', '') AS tr FROM {lines}),
+l1 AS (SELECT *, ld <> '' AND coalesce(regexp_matches(lag(tr) OVER w, '[{C.VALID_BASES}]$'), false) AS gives FROM l0 WINDOW w AS (PARTITION BY {page} ORDER BY line)),
+l2 AS (SELECT *, CASE WHEN lead(gives) OVER w THEN tr || lead(ld) OVER w ELSE text END AS body FROM l1 WINDOW w AS (PARTITION BY {page} ORDER BY line))"""
+
+
+_HEALED = "CASE WHEN gives THEN substr(body, length(ld) + 1) ELSE body END"
+
+
+@query(f"""WITH {D.DOC_LINES}, {heal_ctes('dl', 'doc_id')}
+SELECT doc_id, line::INT AS line, {_HEALED} AS text FROM l2""")
 def line_heal(spark, sf_dir):
     return layout.heal_lines(D.doc_lines(spark, sf_dir).select("doc_id", "line", "text"), ["doc_id"])
 
@@ -362,8 +371,10 @@ def line_heal(spark, sf_dir):
 _NEEDS = f"""(a <> '' AND b <> '' AND NOT regexp_matches(a, '[{C.SPACE}]$') AND NOT regexp_matches(b, '^[{C.SPACE}]') AND NOT (regexp_matches(a, '[{C.THAI}]$') AND regexp_matches(b, '^[{C.THAI}]')))"""
 
 
-@query(f"""WITH {D.DOC_LINES}, p0 AS (SELECT *, min(x0) OVER p AS lft, max(x1) OVER p AS rgt, greatest(lag(y1 - y0) OVER w, 1.0) AS ph, y0 - lag(y1) OVER w AS gap, lag(x1 - x0) OVER w AS pw, lag(x0) OVER w AS px, lag(size) OVER w AS ps, lag(line) OVER w IS NULL AS first
-   FROM dl WINDOW p AS (PARTITION BY doc_id, page), w AS (PARTITION BY doc_id, page ORDER BY line)),
+def paragraph_ctes(lines: str) -> str:
+    """Paragraphs of a table of lines, as p5."""
+    return f"""p0 AS (SELECT *, min(x0) OVER p AS lft, max(x1) OVER p AS rgt, greatest(lag(y1 - y0) OVER w, 1.0) AS ph, y0 - lag(y1) OVER w AS gap, lag(x1 - x0) OVER w AS pw, lag(x0) OVER w AS px, lag(size) OVER w AS ps, lag(line) OVER w IS NULL AS first
+   FROM {lines} WINDOW p AS (PARTITION BY doc_id, page), w AS (PARTITION BY doc_id, page ORDER BY line)),
 p1 AS (SELECT *, max(CASE WHEN NOT first AND gap > ph * 0.55 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page) AS spaced FROM p0),
 p2 AS (SELECT *, CASE WHEN first THEN 0 WHEN gap > ph * 0.55 OR (spaced = 0 AND pw < greatest(rgt - lft, 1) * 0.88) OR abs(x0 - px) > 18 OR abs(size - ps) > 1.5 THEN 1 ELSE 0 END AS new FROM p1),
 p3 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY line) AS para FROM p2),
@@ -372,7 +383,10 @@ p5 AS (SELECT doc_id, page::BIGINT AS page, para::BIGINT AS para, regexp_replace
    min(x0) AS x0, arg_min(y0, line) AS y0, max(x1) AS x1, arg_max(y1, line) AS y1, coalesce(max(CASE WHEN regexp_matches(text, '[^{C.SPACE}]') THEN size END), 12.0) AS size,
    coalesce(bool_and(CASE WHEN regexp_matches(text, '[^{C.SPACE}]') THEN bold END), true) AS bold, count(*) AS n_lines,
    arg_min(CASE WHEN rgt - lft <= 0 THEN 'left' WHEN x0 - lft > (rgt - lft) * 0.15 AND abs((x0 - lft) - (rgt - x1)) < (rgt - lft) * 0.10 THEN 'center' WHEN x0 - lft > (rgt - lft) * 0.30 AND rgt - x1 < (rgt - lft) * 0.05 THEN 'right' ELSE 'left' END, line) AS align
-   FROM p4 GROUP BY doc_id, page, para)
+   FROM p4 GROUP BY doc_id, page, para)"""
+
+
+@query(f"""WITH {D.DOC_LINES}, {paragraph_ctes('dl')}
 SELECT doc_id, page, para, md5(text) AS md5, align, x0, y0, x1, y1, size, bold, n_lines FROM p5 WHERE text <> ''""")
 def paragraph_segmentation(spark, sf_dir):
     p = layout.paragraphs(D.doc_lines(spark, sf_dir), ["doc_id", "page"])
@@ -418,7 +432,7 @@ def ocr_page_upsert(spark, sf_dir):
     return quality.upsert_pages(p, new, ["conv_id", "turn"])
 
 
-@query(f"""{_RUNS.rsplit('SELECT td.doc_id', 1)[0]}, au AS (SELECT td.doc_id, coalesce(orphan_mark, 0) + coalesce(reorder, 0) + coalesce(multi_tone, 0) + (text LIKE '%ํา%')::INT + (text LIKE '%เเ%')::INT AS bad FROM td LEFT JOIN a6 USING (doc_id))
+@query(f"""{_WITH_THAI}, {runs_ctes('td')}, au AS (SELECT td.doc_id, coalesce(orphan_mark, 0) + coalesce(reorder, 0) + coalesce(multi_tone, 0) + (text LIKE '%ํา%')::INT + (text LIKE '%เเ%')::INT AS bad FROM td LEFT JOIN a6 USING (doc_id))
 SELECT td.doc_id, length(text)::BIGINT AS total_chars, round(len(regexp_extract_all(text, '[{C.THAI}]')) / greatest(length(regexp_replace(text, '[{C.SPACE}]', '', 'g')), 1), 6) AS thai_ratio, bad::BIGINT AS remaining, bad = 0 AS clean FROM td JOIN au USING (doc_id)""")
 def quality_report(spark, sf_dir):
     r = quality.quality_report(D.thai_docs(spark, sf_dir).withColumn("page", F.lit(1)))

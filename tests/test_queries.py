@@ -55,3 +55,30 @@ def test_glyph_bucket_merge_takes_whole_lines(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_table_functions(spark):
+    from pyspark.sql import functions as F
+
+    from kham.functions import text as T
+    from kham.streaming import analyze
+
+    analyze.register(spark)
+    spark.createDataFrame([(1, "้กา"), (2, "ก้ั"), (3, "ก็่้า"), (4, "น้ำใจ"), (5, None), (6, "")], "id int, t string").createOrReplaceTempView("said")
+    got = {(r["id"], r["kind"], r["idx"]) for r in spark.sql("SELECT id, i.* FROM said, LATERAL audit_issues(t) i").collect()}
+    assert got == {(1, "orphan_mark", 0), (2, "reorder", 2), (3, "multi_tone", 3)}
+    assert {(r["id"], r["n"]) for r in spark.sql("SELECT id, size(thai_audit(t)) AS n FROM said").collect()} == {(1, 1), (2, 1), (3, 1), (4, 0), (5, 0), (6, 0)}
+    assert spark.sql("SELECT thai_codepoints('กา', 1) AS c").head()["c"] == "U+0E01 ..."
+    text = "ก้ั้ ่ํา" * 3
+    row = spark.createDataFrame([(text,)], "t string").select(T.audit(F.col("t")).alias("a")).head()["a"]
+    kinds = [k for k, *_ in T.audited(text)]
+    assert row.asDict() == {k: kinds.count(k) for k in row.asDict()}
+
+
+def test_source_items_pad_and_skip(spark):
+    from kham.operators import compose
+
+    cells = spark.createDataFrame([(1, 0, 0, 0, 0, "a", 5.0), (1, 0, 0, 0, 2, "c", 5.0), (1, 0, 0, 1, 0, None, 6.0), (1, 0, 0, 2, 1, "z", 7.0)], "doc_id long, page long, table long, row long, col int, value string, y0 double")
+    paras = spark.createDataFrame([(1, 0, 0, 9.0, "after"), (1, 0, 1, 5.0, "tie"), (1, 0, 2, 1.0, " ")], "doc_id long, page long, para long, y0 double, text string")
+    got = compose.source_items(paras, compose.table_rows(cells, ["doc_id", "page"])).orderBy("idx").collect()
+    assert [(r["idx"], r["kind"], r["text"]) for r in got] == [(0, 0, "tie"), (1, 1, "a\t\tc"), (2, 1, "\tz\t"), (3, 0, "after")]
