@@ -91,9 +91,16 @@ def needs_ocr(report: DataFrame, doc: str = "doc_id", page: str = "page") -> Dat
 
 
 def ocr_totals(pages: DataFrame, doc: str) -> DataFrame:
-    """Per document of pages (source, confidence): OCR pages and the plain mean of their confidence, halves rounded up."""
+    """Per document of pages (source, confidence): OCR pages and the plain mean of their confidence, halves rounded up.
+
+    Confidences are summed as decimals of 12 places: a sum of doubles depends on the order of the pages, and so would a
+    mean that is a half. Only what no decimal holds (NaN, infinite) is summed as it is.
+    """
     read = F.col("source") == "ocr"
-    return pages.groupBy(doc).agg(F.count_if(read).alias("ocr_pages"), F.floor(F.avg(F.when(read, F.coalesce("confidence", F.lit(0.0)))) + 0.5).alias("confidence"))
+    c = F.when(read, F.coalesce("confidence", F.lit(0.0)).cast("double"))
+    exact = F.when(F.abs(c) < 1e15, c).cast("decimal(28,12)")
+    mean = F.when(F.count(exact) == F.count(c), F.floor(F.avg(exact) + F.lit(0.5).cast("decimal(2,1)")).cast("long")).otherwise(F.floor(F.avg(c) + 0.5))
+    return pages.groupBy(doc).agg(F.count_if(read).alias("ocr_pages"), mean.alias("confidence"))
 
 
 def merge_counters(images: DataFrame, job: str, order: str = "ord") -> DataFrame:

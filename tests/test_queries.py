@@ -82,3 +82,12 @@ def test_source_items_pad_and_skip(spark):
     paras = spark.createDataFrame([(1, 0, 0, 9.0, "after"), (1, 0, 1, 5.0, "tie"), (1, 0, 2, 1.0, " ")], "doc_id long, page long, para long, y0 double, text string")
     got = compose.source_items(paras, compose.table_rows(cells, ["doc_id", "page"])).orderBy("idx").collect()
     assert [(r["idx"], r["kind"], r["text"]) for r in got] == [(0, 0, "tie"), (1, 1, "a\t\tc"), (2, 1, "\tz\t"), (3, 0, "after")]
+
+
+def test_ocr_totals_of_halves(spark):
+    from kham.operators import compose
+
+    c = [65.0, 47.0, 37.166667, 69.0, 50.5, 70.333333]  # their mean is 56.5, their doubles added in this order give less
+    p = spark.createDataFrame([(1, "ocr", x) for x in c] + [(1, "text", 1.0), (2, "text", 9.0), (3, "ocr", None), (3, "ocr", 1.0)], "doc_id long, source string, confidence double").coalesce(1)
+    got = {r["doc_id"]: (r["ocr_pages"], r["confidence"]) for r in compose.ocr_totals(p, "doc_id").collect()}
+    assert got == {1: (6, 57), 2: (0, None), 3: (2, 1)}
