@@ -147,8 +147,8 @@ def convert_and_verify(items: DataFrame, ocr_pages: DataFrame, doc: str = "doc_i
     """
     from ..sources import office
 
-    back = office.read_docx(office.write_docx(items.select(doc, "idx", "kind", "text"), doc, "idx"), doc)
-    report, _ = quality.positional_verify(items.select(doc, "idx", "text"), back, doc)
+    office.small_batches(items.sparkSession)
+    report, _ = quality.verify_pairs(office.docx_pairs(items.select(doc, "idx", "kind", "text"), doc), doc)
     report = report.join(ocr_pages.select(doc, "ocr_pages"), doc, "left").na.fill(0, ["ocr_pages"])
     return report.withColumn("verdict", quality.verdict(F.col("exact"), F.col("ocr_pages")))
 

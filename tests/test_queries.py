@@ -91,3 +91,20 @@ def test_ocr_totals_of_halves(spark):
     p = spark.createDataFrame([(1, "ocr", x) for x in c] + [(1, "text", 1.0), (2, "text", 9.0), (3, "ocr", None), (3, "ocr", 1.0)], "doc_id long, source string, confidence double").coalesce(1)
     got = {r["doc_id"]: (r["ocr_pages"], r["confidence"]) for r in compose.ocr_totals(p, "doc_id").collect()}
     assert got == {1: (6, 57), 2: (0, None), 3: (2, 1)}
+
+
+def test_convert_verify_shuffles_documents_once(spark):
+    plan = entry.queries()["convert_verify"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1  # written, read and compared in one pass
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 64
+
+
+def test_docx_pairs(spark):
+    from kham.operators import quality
+    from kham.sources import office
+
+    items = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 1, "b\tc"), (2, 0, 0, "x\x01y"), (2, 1, 0, "p\nq"), (3, 0, 1, "r\ns")], "doc_id long, idx int, kind int, text string")
+    back = office.read_docx(office.write_docx(items, "doc_id", "idx"))
+    want, _ = quality.positional_verify(items.select("doc_id", "idx", "text"), back)
+    got, _ = quality.verify_pairs(office.docx_pairs(items))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
