@@ -125,13 +125,24 @@ def analyze(glyphs: DataFrame, doc: str = "doc_id", page: str = "page") -> tuple
     remaining, clean, visual_order_suspect, visual_order_ratio, text. Pages without a paragraph count for nothing.
     """
     box = (F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("size").alias("size"), F.bool_and("bold").alias("bold"))
-    lines = layout.heal_lines(layout.glyph_spacing(glyphs, [doc, page, "line"], also=box), [doc, page])
+    return analyze_lines(layout.glyph_spacing(glyphs, [doc, page, "line"], also=box), doc, page)
+
+
+def analyze_lines(spaced: DataFrame, doc: str = "doc_id", page: str = "page") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `analyze` gives, of spaced lines (doc, page, line, text, x0, y0, x1, y1, size, bold).
+
+    Lines are dealt out by document, once, and their normalised paragraphs once more.
+    """
+    lines = layout.heal_lines(spaced.repartition(doc), [doc, page])
     raw = layout.paragraphs(lines, [doc, page])
     said = raw.withColumn("n", T.normalise(F.col("text"), F.lit(True)))
     issues = said.select(doc, page, "para", F.explode_outer("n.issues").alias("i")).where("i is not null").select(doc, page, "para", "i.*")
     paras = said.withColumn("text", F.col("n.text")).drop("n")
-    pages = paras.groupBy(doc, page).agg(ordered_text(F.col("para"), F.col("text"), "\n").alias("t"), F.count("*").alias("n"))
-    docs = pages.groupBy(doc).agg(ordered_text(F.col(page), F.col("t"), "\n\n").alias("text"), F.count("*").alias("n_pages"), F.sum("n").alias("n_paragraphs"))
+    said_in = F.array_sort(F.collect_list(F.struct(F.col(page).alias("g"), F.col("para").alias("o"), F.col("text").alias("t"))))
+    docs = paras.groupBy(doc).agg(said_in.alias("p"))
+    apart = lambda x, i: F.when(i == 0, F.lit("")).when(F.get(F.col("p"), i - 1)["g"].eqNullSafe(x["g"]), F.lit("\n")).otherwise(F.lit("\n\n"))
+    docs = docs.select(doc, F.array_join(F.transform("p", lambda x, i: F.concat(apart(x, i), x["t"])), "").alias("text"),
+                       F.size(F.array_distinct(F.transform("p", lambda x: x["g"]))).cast("long").alias("n_pages"), F.size("p").cast("long").alias("n_paragraphs"))
     ratio = T.visual_order_ratio(F.col("text"))
     docs = docs.withColumns({"total_chars": F.length("text"), "thai_ratio": F.round(T.thai_ratio(F.col("text")), 4), "bad": T.audit(F.col("text")), "r": ratio})
     docs = docs.withColumn("remaining", F.expr("bad.orphan_mark + bad.reorder + bad.multi_tone + bad.nikhahit_aa + bad.double_sara_e"))

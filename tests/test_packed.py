@@ -20,6 +20,11 @@ def test_no_glyph_is_shuffled(spark, name):
     assert "Exchange" not in entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_analysis_shuffles_texts_twice(spark):
+    plan = entry.queries()["analyze_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # lines, paragraphs
+
+
 @pytest.mark.parametrize("name", NARROW)
 def test_odd_documents(spark, tmp_path, name):
     docs = [(1, "jab wf \n\nxxnxx " * 5), (2, None), (3, ""), (4, "\n"), (5, "\n\n\nab cd ef gh ij kl"), (5, "abj\nxyz"), (None, "jjj abc abc abc"), (6, "ก้า é😀 x\r y" * 4), (7, "j" * 40), (8, "JB\x85  a")]
