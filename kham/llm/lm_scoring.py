@@ -262,10 +262,14 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
 
 # ---- scoring ----
 
-def _looked_up(docs: DataFrame, probs: DataFrame, base: DataFrame) -> DataFrame:
-    """docs (id, held_out, text) with score, w, w_n, w_known: each text's grams and words are looked up in broadcast tables."""
-    spark = docs.sparkSession
-    g, w = probs.select("key", "v").toArrow(), base.select("key", "v", "known").toArrow()
+def _looked_up(docs: DataFrame, probs: DataFrame, base: DataFrame | None) -> DataFrame:
+    """docs (id, held_out, text) with score, w, w_n, w_known: each text's grams and words are looked up in broadcast tables.
+
+    Without a base model words count nothing.
+    """
+    spark, with_words = docs.sparkSession, base is not None
+    g = probs.select("key", "v").toArrow()
+    w = base.select("key", "v", "known").toArrow() if with_words else pa.table({"key": pa.array([], pa.int64()), "v": pa.array([], pa.float64()), "known": pa.array([], pa.bool_())})
     column = lambda t, c: np.ascontiguousarray(t[c].to_numpy())
     shared = spark.sparkContext.broadcast([(column(t, "key"), column(t, "v")) for t in (g, w)] + [column(w, "known")])
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
@@ -287,11 +291,15 @@ def _looked_up(docs: DataFrame, probs: DataFrame, base: DataFrame) -> DataFrame:
             for first, past, raws in text_blocks(texts, 1 << 19):
                 key, n = block_grams(raws)
                 i = grams.find(key)
+                if i.min(initial=0) < 0:
+                    raise ValueError("a key that was not counted")
+                sums(score[first:past], n, gv[i])
+                if not with_words:
+                    continue
                 key, m = block_words(raws)
                 j = words.find(key)
-                if min(i.min(initial=0), j.min(initial=0)) < 0:
+                if j.min(initial=0) < 0:
                     raise ValueError("a key that was not counted")
-                sums(score[first:past], n, gv[i])
                 sums(w[first:past], m, wv[j])
                 sums(w_known[first:past], m, known[j].astype(_I64))
                 w_n[first:past] = m
@@ -302,8 +310,12 @@ def _looked_up(docs: DataFrame, probs: DataFrame, base: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join([*kinds, "score double, w double, w_n long, w_known long, n_bytes long"]))
 
 
-def _joined(docs: DataFrame, probs: DataFrame, base: DataFrame) -> DataFrame:
-    """The same by shuffled joins of each text's counted grams and words; docs has a row id `rid`."""
+def _joined(docs: DataFrame, probs: DataFrame, base: DataFrame, grams_too: bool = True) -> DataFrame:
+    """The same by shuffled joins of each text's counted grams and words; docs has a row id `rid`.
+
+    Without `grams_too` the grams, several times as many as words, are looked up in a broadcast table and only words are
+    shuffled.
+    """
 
     def counted(split) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,9 +331,11 @@ def _joined(docs: DataFrame, probs: DataFrame, base: DataFrame) -> DataFrame:
 
         return docs.select("rid", "text").mapInArrow(run, "rid long, key long, c long")
 
-    g = counted(block_grams).join(probs, "key").groupBy("rid").agg(F.sum(F.col("c") * F.col("v")).alias("score"))
     w = counted(block_words).join(base, "key").groupBy("rid").agg(
         F.sum(F.col("c") * F.col("v")).alias("w"), F.sum("c").alias("w_n"), F.sum(F.when(F.col("known"), F.col("c")).otherwise(0)).alias("w_known"))
+    if not grams_too:
+        return _looked_up(docs, probs, None).drop("w", "w_n", "w_known").join(w, "rid", "left").fillna(0, ["w", "w_n", "w_known"])
+    g = counted(block_grams).join(probs, "key").groupBy("rid").agg(F.sum(F.col("c") * F.col("v")).alias("score"))
     out = docs.join(g, "rid", "left").join(w, "rid", "left").fillna(0, ["score", "w", "w_n", "w_known"])
     return out.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
 
@@ -348,10 +362,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     end_c = words.where(F.col("key") == END_WORD).select("c").first()
     end_c = int(end_c["c"]) if end_c else 0
 
-    if max(probs.count(), n_words) <= broadcast_rows:
+    n_grams = probs.count()
+    if max(n_grams, n_words) <= broadcast_rows:
         got = _looked_up(rows, probs, base)
     else:  # the joins need a row id that a retry can't change
-        got = _joined(ws.stage(rows.withColumn("rid", F.monotonically_increasing_id())), probs, base)
+        got = _joined(ws.stage(rows.withColumn("rid", F.monotonically_increasing_id())), probs, base, n_grams > broadcast_rows)
     return got.select(
         F.col("id").alias(id_col), "held_out", (F.col("w_n") + 1).cast("long").alias("n_tokens"),
         (F.col("w_known") + F.lit(1 if end_c else 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

@@ -445,3 +445,17 @@ def test_pipeline(spark, docs, tmp_path):
     assert {str(i) for i, _ in got if i is not None} == {i for i, c in comp if i == c and i != "None"} and len(got) == len(set(got))
     rows.write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() > 0
+
+
+def test_lm_many_words_few_grams(spark, monkeypatch):
+    """More words than a broadcast table holds: grams are still looked up, with the results of both lookups."""
+    letters = "abcd"
+    words = [a + b + c + d + e for a in letters for b in letters for c in letters for d in letters for e in letters]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 16 : i * 16 + 16] * 2)) for i in range(64)] + [(64, None), (65, "")], "doc_id long, text string")
+    docs = docs.selectExpr("doc_id", "regexp_replace(text, '([abcd])', '$1$1$1$1$1$1$1$1') AS text")  # 1025 words, fewer grams a word
+    counted, joined = [], lm_scoring._joined
+    monkeypatch.setattr(lm_scoring, "_joined", lambda *a: counted.append(a[3]) or joined(*a))
+    key = lambda r: (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6), r["n_bytes"])
+    want = sorted(map(key, lm_scoring.lm_scores(docs).collect()))
+    got = sorted(map(key, lm_scoring.lm_scores(docs, broadcast_rows=1000).collect()))
+    assert got == want and counted == [False]
