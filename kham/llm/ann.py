@@ -160,19 +160,13 @@ def nearest_neighbours(vectors: DataFrame, is_query: F.Column, id_col: str = "ve
             pairs = pa.StructArray.from_arrays([pa.array(-top_s[: len(held)][full]), pa.array(top_i[: len(held)][full])], names=["s", "id"])
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.ListArray.from_arrays(n, pairs)], names=["query_id", "n"])
 
-        for ids, x, q in _cells(batches, d):
-            c = np.flatnonzero(~q)
-            if not len(c) or len(c) == len(q):
-                continue
-            again = np.zeros(len(c), bool)  # repeated rows stand side by side
-            again[1:] = (ids[c][1:] == ids[c][:-1]) & (x[c][1:] == x[c][:-1]).all(1)
-            cid, cx, asks = ids[c][~again], x[c][~again], np.flatnonzero(q)
-            for at in range(0, len(asks), 512):
-                part = asks[at : at + 512]
-                s = x[part] @ cx.T
-                s[ids[part][:, None] == cid[None]] = -np.inf
+        for cid, cx, qid, qx in _cells(batches, d):
+            for at in range(0, len(qid), 512):
+                part = slice(at, at + 512)
+                s = qx[part] @ cx.T
+                s[qid[part][:, None] == cid[None]] = -np.inf
                 got_s, got_i = top_rows(s, cid, k)
-                rows = np.array([held.setdefault(i, len(held)) for i in ids[part].tolist()])
+                rows = np.array([held.setdefault(i, len(held)) for i in qid[part].tolist()])
                 if len(held) > len(top_s):
                     more = max(1024, len(held))
                     top_s = np.vstack([top_s, np.full((more, k), -np.inf)])
@@ -194,10 +188,13 @@ def nearest_neighbours(vectors: DataFrame, is_query: F.Column, id_col: str = "ve
         F.lit(visits).alias("n_visited"))
 
 
-def _cells(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, vectors, is query) of each run of equal (leaf, block); candidates stand before queries."""
-    held: list[tuple] = []
-    now = None
+def _cells(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the candidates of each run of equal (leaf, block), and of some of its queries at a time.
+
+    Candidates stand before queries; they are at most about a block and are held, queries pass by batches however many
+    they are. Repeated candidates are one.
+    """
+    now, held, cell = None, [], None
     for b in batches:
         key = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)], 1)
         if not len(key):
@@ -205,10 +202,15 @@ def _cells(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarr
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
         ids, x, q = b.column(3).to_numpy(), matrix(b.column(4), d), b.column(2).to_numpy(zero_copy_only=False)
         for a, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if now is not None and tuple(key[a]) != now and held:
-                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-                held = []
-            now = tuple(key[a])
-            held.append((ids[a:e], x[a:e], q[a:e]))
-    if held:
-        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            if tuple(key[a]) != now:
+                now, held, cell = tuple(key[a]), [], None
+            m = a + int((~q[a:e]).sum())
+            if m > a:
+                held.append((ids[a:m], x[a:m]))
+            if m < e and held:
+                if cell is None:
+                    i, v = (np.concatenate(c) for c in zip(*held, strict=True))
+                    again = np.zeros(len(i), bool)  # repeated rows stand side by side
+                    again[1:] = (i[1:] == i[:-1]) & (v[1:] == v[:-1]).all(1)
+                    cell = i[~again], v[~again]
+                yield *cell, ids[m:e], x[m:e]

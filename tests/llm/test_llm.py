@@ -459,3 +459,16 @@ def test_lm_many_words_few_grams(spark, monkeypatch):
     want = sorted(map(key, lm_scoring.lm_scores(docs).collect()))
     got = sorted(map(key, lm_scoring.lm_scores(docs, broadcast_rows=1000).collect()))
     assert got == want and counted == [False]
+
+
+def test_ann_cells_pass_queries_by_batches():
+    """However many queries a cell has, they come batch by batch beside its candidates."""
+    import pyarrow as pa
+
+    def batch(rows):
+        leaf, block, q, i, x = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(block, pa.int32()), pa.array(q), pa.array(i, pa.int64()), pa.array(x, pa.list_(pa.float64()))], names=["leaf", "block", "q", "id", "x"])
+
+    v = [1.0, 2.0]
+    got = list(ann._cells(iter([batch([(1, 0, False, 5, v), (1, 0, False, 5, v)]), batch([(1, 0, False, 6, v), (1, 0, True, 7, v)]), batch([(1, 0, True, 8, v), (2, 0, True, 8, v)]), batch([(3, 0, False, 9, v), (3, 0, True, 9, v)])]), 2))
+    assert [(c.tolist(), q.tolist()) for c, _, q, _ in got] == [([5, 6], [7]), ([5, 6], [8]), ([9], [9])]
