@@ -27,10 +27,10 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame,
     return good.where(F.size("x") == d), d
 
 
-def matrix(column: pa.Array, d: int) -> np.ndarray:
-    """Rows of a list column of d doubles each."""
+def matrix(column: pa.Array, d: int, dtype: type = np.float64) -> np.ndarray:
+    """Rows of a list column of d numbers each."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return np.asarray(flat, np.float64).reshape(-1, d)
+    return np.asarray(flat, dtype).reshape(-1, d)
 
 
 class Tree:
@@ -92,6 +92,38 @@ class Tree:
             for k, kid in enumerate(self.children[node]):
                 heapq.heappush(queue, (float(d[k]), kid))
 
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """All leaves of each row in the order of `best_first`, for many rows at once.
+
+        Of two leaves that one comes first whose path, below their last common node, has the smaller largest distance.
+        Largest distances from a level down to the leaf, upper levels first, sort leaves in just this way, as common
+        nodes give equal values.
+        """
+        depth = self._depth(self.root)
+        if not depth:
+            return np.zeros((len(q), 1), np.int64)
+        some = max(1, (1 << 19) // (depth * self.leaves))
+        return np.concatenate([np.zeros((0, self.leaves), np.int64), *(self._order(q[a : a + some], depth) for a in range(0, len(q), some))])
+
+    def _depth(self, node: int) -> int:
+        return 0 if node < 0 else 1 + max(self._depth(kid) for kid in self.children[node])
+
+    def _order(self, q: np.ndarray, depth: int) -> np.ndarray:
+        keys = np.zeros((depth, self.leaves, len(q)))
+        todo: list[tuple[int, list[np.ndarray]]] = [(self.root, [])]
+        while todo:
+            node, path = todo.pop()
+            if node < 0:
+                worst = path[-1]
+                for level in range(len(path) - 1, -1, -1):
+                    worst = np.maximum(worst, path[level])
+                    keys[level, -1 - node] = worst
+                continue
+            c = self.centres[node]
+            d = (c * c).sum(1)[:, None] - 2 * (c @ q.T)
+            todo += [(kid, [*path, d[k]]) for k, kid in enumerate(self.children[node])]
+        return np.lexsort(keys[::-1].transpose(0, 2, 1), axis=-1)
+
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c * c).sum(1)[None] - 2 * (x @ c.T)).argmin(1)

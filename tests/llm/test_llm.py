@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from kham.llm import ann, jaccard_join, language_id, license_scan, lm_scoring, mixing, near_dedup, packing, token_counts, url_filters
+from kham.llm import ann, jaccard_join, language_id, license_scan, lm_scoring, mixing, near_dedup, packing, token_counts, url_filters, vectors
 from kham.llm.common import Workspace, components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, held_out int"
@@ -472,3 +472,65 @@ def test_ann_cells_pass_queries_by_batches():
     v = [1.0, 2.0]
     got = list(ann._cells(iter([batch([(1, 0, False, 5, v), (1, 0, False, 5, v)]), batch([(1, 0, False, 6, v), (1, 0, True, 7, v)]), batch([(1, 0, True, 8, v), (2, 0, True, 8, v)]), batch([(3, 0, False, 9, v), (3, 0, True, 9, v)])]), 2))
     assert [(c.tolist(), q.tolist()) for c, _, q, _ in got] == [([5, 6], [7]), ([5, 6], [8]), ([9], [9])]
+
+
+def test_ann_queries_go_once_to_a_part(spark):
+    """A task doesn't copy a query for each leaf that it visits."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df, F.col("id") % 3 == 0)
+    assert len(got.collect()) == 20_000
+    plan = got._jdf.queryExecution().executedPlan()
+    seen, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        if node.nodeName() == "Exchange":
+            seen.append(node.metrics().apply("shuffleRecordsWritten").value())
+    assert max(seen) == 3000 + 1000  # one part
+
+
+def test_tree_order_is_best_first():
+    rng = np.random.default_rng(9)
+    for n, d in ((400, 3), (400, 20), (3, 2)):
+        tree = vectors.Tree(rng.normal(size=(n, d)), 5)
+        q = rng.normal(size=(40, d))
+        assert tree.order(q).tolist() == [list(tree.best_first(v)) for v in q]
+    assert tree.order(q[:0]).shape == (0, tree.leaves)
+
+
+def test_ann_part_is_exact_in_its_leaves():
+    """Copies, ties, norms of all sizes and repeated rows: as all products in double precision."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(700, 6))
+    x[100:200] = x[:100]
+    x[200:260] = x[0]
+    x[260:330] = np.round(x[260:330])
+    x[330:400] *= 1e-7
+    x[400] *= 1e9
+    x[401:500] = x[401] * (1 + 1e-9 * rng.normal(size=(99, 1)))
+    ids, leaf = rng.permutation(700) * 3, rng.integers(0, 9, 700)
+    leaf[200:260] = 4
+    leaves = np.array([1, 2, 4, 5, 7, 8])
+    for dtype in (np.float64, np.float32):
+        v = x.astype(dtype)
+        part = ann.Part(np.append(ids, ids[:50]), np.vstack([v, v[:50]]), np.append(leaf, leaf[:50]), leaves, 7)
+        q, qid = v[::4].astype(np.float64), ids[::4]
+        visited = rng.random((len(q), len(leaves))) < 0.6
+        visited[0], visited[1] = True, False
+        r, i, s = part.search(qid, q, visited)
+        for n in range(len(q)):
+            at = np.flatnonzero(np.isin(leaf, leaves[visited[n]]) & (ids != qid[n]))
+            e = np.einsum("ij,ij->i", np.repeat(q[n : n + 1], len(at), 0), v[at].astype(np.float64))
+            best = np.lexsort((ids[at], -e))[:7]
+            assert i[r == n].tolist() == ids[at][best].tolist() and s[r == n].tolist() == e[best].tolist()
+
+
+def test_ann_parts_hold_all_leaves():
+    got = [(p.tolist(), n) for p, n in ann.parts_of(np.array([3, 0, 4, 25, 2, 10, 1]), 10)]
+    assert got == [([0, 2], 1), ([3], 3), ([4], 1), ([5], 1), ([6], 1)]
